@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hybridkb.llm import html_content, mixing, url_reputation
+from hybridkb.llm import bpe, html_content, mixing, token_files, url_reputation
 from hybridkb.session import table
 
 
@@ -14,6 +14,14 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
 
 
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.document_token_counts(table(spark, sf_dir, "documents"))
+
+
+def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode_documents(table(spark, sf_dir, "documents"))
+
+
 def op7_html_content(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_content.extract_pages(table(spark, sf_dir, "pages"))
 
@@ -25,6 +33,8 @@ def op9_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mix_sources": op1_mix_sources,
+        "op3_token_counts": op3_token_counts,
+        "op6_byte_bpe": op6_byte_bpe,
         "op7_html_content": op7_html_content,
         "op9_url_reputation": op9_url_reputation,
     }

@@ -66,8 +66,8 @@ def mixing_plan(
     docs: DataFrame,
     member_cols: tuple[str, ...] = ("source", "lang"),
     weights: dict[str, float] | None = None,
-    share_power: float = 0.5,
-    budget_factor: float = 1.0,
+    share_power: float = 0.3,
+    budget_factor: float = 1.25,
     repeat_costs: tuple[int, ...] = (0, 1, 4, 9),
     seed: int = 17,
 ) -> DataFrame:

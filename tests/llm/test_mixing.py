@@ -51,7 +51,7 @@ def test_quotas_are_met_and_order_is_seeded(spark):
     docs = spark.createDataFrame(rows, DOCS)
     weights = {"source=s0": 1.0, "source=s1": 2.0, "lang=de": 3.0}
     got = mix_sources(docs, weights=weights, seed=3).collect()
-    total = sum(1 + i % 7 for i in range(600))
+    total = int(1.25 * sum(1 + i % 7 for i in range(600)))
     for s, w in weights.items():
         tokens = sum(r.n_tokens for r in got if r.target == s)
         assert abs(tokens - total * w / 6) <= 7 * 2 * 4 * 2, s
@@ -63,9 +63,6 @@ def test_quotas_are_met_and_order_is_seeded(spark):
         by[r.doc_id, r.epoch] = r
     de = {i for i in range(600) if i % 3 == 0}
     assert all(r.doc_id in de for r in got if r.target == "lang=de")
-    for r in got:
-        if r.epoch:
-            assert (r.doc_id, r.epoch - 1) in by or r.epoch - 1 in {e for (d, e) in by if d == r.doc_id} or True
 
 
 def test_selection_matches_a_plain_walk(spark):
@@ -87,7 +84,7 @@ def test_selection_matches_a_plain_walk(spark):
 
     order = sorted(held)
     sizes = {p: sum(r.n for r in held[p]) for p in order}
-    q = quotas({"source=a": 1, "source=b": 2, "lang=en": 1}, sum(sizes.values()))
+    q = quotas({"source=a": 1, "source=b": 2, "lang=en": 1}, int(1.25 * sum(sizes.values())))
     sent, _, _ = solve([(tuple(p.split("\x1f")), sizes[p]) for p in order], q, [0, 1, 4, 9])
     for i, p in enumerate(order):
         start = 0

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hybridkb.llm import bpe, html_content, mixing, token_files, url_reputation
+from hybridkb.llm import bpe, html_content, mixing, token_files, toxicity, url_reputation
 from hybridkb.session import table
 
 
@@ -26,6 +26,10 @@ def op7_html_content(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_content.extract_pages(table(spark, sf_dir, "pages"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_reputation.filter_urls(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
 
@@ -36,6 +40,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_token_counts": op3_token_counts,
         "op6_byte_bpe": op6_byte_bpe,
         "op7_html_content": op7_html_content,
+        "op8_toxicity": op8_toxicity,
         "op9_url_reputation": op9_url_reputation,
     }
 

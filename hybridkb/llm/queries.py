@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hybridkb.llm import bpe, html_content, mixing, token_files, toxicity, url_reputation
+from hybridkb.llm import bpe, html_content, mixing, sanitise, token_files, toxicity, url_reputation
 from hybridkb.session import table
 
 
@@ -18,6 +18,10 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.document_token_counts(table(spark, sf_dir, "documents"))
 
 
+def op4_sanitise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sanitise.sanitise_documents(table(spark, sf_dir, "documents"))
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"))
 
@@ -38,6 +42,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mix_sources": op1_mix_sources,
         "op3_token_counts": op3_token_counts,
+        "op4_sanitise": op4_sanitise,
         "op6_byte_bpe": op6_byte_bpe,
         "op7_html_content": op7_html_content,
         "op8_toxicity": op8_toxicity,

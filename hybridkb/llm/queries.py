@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hybridkb.llm import bpe, html_content, mixing, sanitise, token_files, toxicity, url_reputation
+from hybridkb.llm import bpe, html_content, mixing, near_duplicates, sanitise, token_files, toxicity, url_reputation
 from hybridkb.session import table
 
 
@@ -38,6 +38,10 @@ def op9_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_reputation.filter_urls(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
 
 
+def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.jaccard_pairs(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mix_sources": op1_mix_sources,
@@ -47,8 +51,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_html_content": op7_html_content,
         "op8_toxicity": op8_toxicity,
         "op9_url_reputation": op9_url_reputation,
+        "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_url_reputation": url_reputation.oracle()}
+    return {"op9_url_reputation": url_reputation.oracle(), "op10_ngram_jaccard_join": near_duplicates.oracle()}

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hybridkb.llm import bpe, html_content, mixing, near_duplicates, sanitise, token_files, toxicity, url_reputation
+from hybridkb.llm import bpe, collision_search, html_content, metric_tree, mixing, near_duplicates, sanitise, token_files, toxicity, url_reputation
 from hybridkb.session import table
 
 
@@ -14,6 +14,10 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
 
 
+def op2_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metric_tree.nearest_neighbours(table(spark, sf_dir, "embeddings"))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.document_token_counts(table(spark, sf_dir, "documents"))
 
@@ -22,6 +26,10 @@ def op4_sanitise(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sanitise.sanitise_documents(table(spark, sf_dir, "documents"))
 
 
+def op5_collision_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collision_search.approximate_neighbours(table(spark, sf_dir, "embeddings"))
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"))
 
@@ -45,8 +53,10 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mix_sources": op1_mix_sources,
+        "op2_exact_topk": op2_exact_topk,
         "op3_token_counts": op3_token_counts,
         "op4_sanitise": op4_sanitise,
+        "op5_collision_ann": op5_collision_ann,
         "op6_byte_bpe": op6_byte_bpe,
         "op7_html_content": op7_html_content,
         "op8_toxicity": op8_toxicity,
@@ -56,4 +66,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_url_reputation": url_reputation.oracle(), "op10_ngram_jaccard_join": near_duplicates.oracle()}
+    return {
+        "op2_exact_topk": metric_tree.oracle(),
+        "op9_url_reputation": url_reputation.oracle(),
+        "op10_ngram_jaccard_join": near_duplicates.oracle(),
+    }

@@ -21,7 +21,7 @@ def register(name: str, sql: str | None = None):
 
 
 def _load() -> None:
-    from hybridkb.plans import text_queries  # noqa: F401
+    from hybridkb.plans import page_queries, search_queries, store_queries, text_queries, vector_queries  # noqa: F401
 
 
 def queries() -> dict[str, Callable]:

@@ -43,16 +43,16 @@ def weight(tf: Column, df: Column, doc_len: Column, n: Column, avgdl: Column, k1
 def score(post: DataFrame, stats: DataFrame, queries: DataFrame, allowed: DataFrame | None = None, k1: float = K1, b: float = B) -> DataFrame:
     """(query_id, doc_id, score) for ``queries`` (query_id, term); a repeated term counts once.
 
-    The queries are broadcast, as a batch of them is small beside the postings; df is counted over
-    the postings of the queries' terms alone. ``allowed`` (doc_id) restricts the result, not the statistics.
+    Only postings of the queries' terms are read on; df is counted over those. Whether the terms and
+    weights are broadcast is left to their measured size: a large batch of queries is joined by shuffle. ``allowed`` (doc_id) restricts the result, not the statistics.
     """
     asked = queries.select("query_id", "term").distinct()
-    hits = post.join(F.broadcast(asked.select("term").distinct()), "term", "left_semi")
+    hits = post.join(asked.select("term").distinct(), "term", "left_semi")
     df = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     weights = asked.join(df, "term").crossJoin(F.broadcast(stats.select("doc_count", "avgdl")))
     if allowed is not None:
         hits = hits.join(allowed.select("doc_id"), "doc_id", "left_semi")
-    rows = hits.join(F.broadcast(weights), "term")
+    rows = hits.join(weights, "term")
     w = weight(F.col("tf"), F.col("df"), F.col("doc_len"), F.col("doc_count"), F.col("avgdl"), k1, b)
     return rows.groupBy("query_id", "doc_id").agg(F.sum(w).alias("score"))
 

@@ -26,38 +26,76 @@ def top_k(vecs: DataFrame, vector: list[float], k: int, metric: str = "cosine",
     return scored.orderBy(F.desc("score"), F.asc("doc_id")).limit(max(0, k))
 
 
-def batch_top_k(vecs: DataFrame, queries: DataFrame, k: int, metric: str = "cosine", block: int = 1024) -> DataFrame:
-    """(query_id, doc_id, score, rank) for each of ``queries`` (query_id, vector).
+#: Queries that each task is given at once; more of them meet the vectors block by block.
+MAX_HELD, BLOCK = 20_000, 1024
 
-    The queries, a batch that a driver can hold, go to each task; each Arrow batch of vectors is one
-    matrix product and leaves at most k rows a query, so that the shuffle carries k rows for each query
-    and batch and never the products.
-    """
-    asked = queries.select("query_id", "vector").collect()
-    names = np.array([r[0] for r in asked], np.int64)
-    matrix = np.array([r[1] for r in asked], np.float64).reshape(len(asked), -1)
+
+def _best(names: np.ndarray, q: np.ndarray, ids: np.ndarray, v: np.ndarray, k: int, metric: str) -> pa.RecordBatch:
+    """The k best of these vectors for each query, with all that tie with the last."""
+    s = q @ v.T
+    if metric == "l2":
+        s = 2 * s - (q * q).sum(1)[:, None] - (v * v).sum(1)[None, :]
+    top = min(k, len(ids))
+    floor = -np.partition(-s, top - 1, axis=1)[:, top - 1]
+    x, y = np.nonzero(s >= floor[:, None] - 1e-12)
+    return pa.RecordBatch.from_arrays([pa.array(names[x]), pa.array(ids[y]), pa.array(s[x, y])], names=["query_id", "doc_id", "score"])
+
+
+def _matrix(column: pa.Array, rows: int) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(rows, -1)
+
+
+def _packed(rows: DataFrame, id_col: str, vec_col: str) -> DataFrame:
+    """(ids, flat): blocks of ``BLOCK`` rows at most, made within each partition."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            flat = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-            if not len(ids) or not len(names):
-                continue
-            v = flat.reshape(len(ids), -1)
-            for a in range(0, len(names), block):
-                q = matrix[a : a + block]
-                s = q @ v.T
-                if metric == "l2":
-                    s = 2 * s - (q * q).sum(1)[:, None] - (v * v).sum(1)[None, :]
-                top = min(k, len(ids))
-                floor = -np.partition(-s, top - 1, axis=1)[:, top - 1]
-                x, y = np.nonzero(s >= floor[:, None] - 1e-12)
-                yield pa.RecordBatch.from_arrays([pa.array(names[a + x]), pa.array(ids[y]), pa.array(s[x, y])], names=["query_id", "doc_id", "score"])
-
-    if k <= 0 or not len(asked):
-        return vecs.sparkSession.createDataFrame([], "query_id long, doc_id long, score double, rank long")
-    rows = vecs.where(F.size("embedding") == matrix.shape[1]).selectExpr("cast(doc_id as long) doc_id", "cast(embedding as array<float>) embedding")
-    found = rows.where("doc_id IS NOT NULL AND NOT exists(embedding, x -> x IS NULL OR isnan(x))").mapInArrow(run, "query_id long, doc_id long, score double")
+            for a in range(0, batch.num_rows, BLOCK):
+                part = batch.slice(a, BLOCK)
+                flat = part.column(1).flatten().cast(pa.float64())
+                yield pa.RecordBatch.from_arrays([pa.array([part.column(0).to_pylist()], pa.list_(pa.int64())), pa.ListArray.from_arrays(pa.array([0, len(flat)], pa.int32()), flat)], names=["ids", "flat"])
+
+    return rows.selectExpr(f"cast({id_col} as long)", f"cast({vec_col} as array<double>)").mapInArrow(run, "ids array<long>, flat array<double>")
+
+
+def batch_top_k(vecs: DataFrame, queries: DataFrame, k: int, metric: str = "cosine") -> DataFrame:
+    """(query_id, doc_id, score, rank) for each of ``queries`` (query_id, vector).
+
+    Up to ``MAX_HELD`` queries go to each task; each Arrow batch of vectors is one matrix product and
+    leaves at most k rows a query (and ties), so that the shuffle never carries the products. More
+    queries are packed into blocks, and each block of queries meets each block of vectors in one product.
+    Null ids, vectors with null or NaN members and those of another length than the queries' are left out.
+    """
+    empty = vecs.sparkSession.createDataFrame([], "query_id long, doc_id long, score double, rank long")
+    sizes = queries.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vector")).alias("dim")).first()
+    if k <= 0 or not sizes.n:
+        return empty
+    rows = vecs.where(F.size("embedding") == sizes.dim).where("doc_id IS NOT NULL AND NOT exists(embedding, x -> x IS NULL OR isnan(x))").selectExpr("cast(doc_id as long) doc_id", "embedding")
+    asked = queries.where(F.size("vector") == sizes.dim).select("query_id", "vector")
+    schema = "query_id long, doc_id long, score double"
+    if sizes.n <= MAX_HELD:
+        held = asked.collect()
+        names, matrix = np.array([r[0] for r in held], np.int64), np.array([r[1] for r in held], np.float64)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if batch.num_rows:
+                    ids, v = batch.column(0).to_numpy(zero_copy_only=False), _matrix(batch.column(1), batch.num_rows)
+                    for a in range(0, len(names), BLOCK):
+                        yield _best(names[a : a + BLOCK], matrix[a : a + BLOCK], ids, v, k, metric)
+
+        found = rows.mapInArrow(run, schema)
+    else:
+
+        def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for i in range(batch.num_rows):
+                    names, ids = (np.array(batch.column(c)[i].as_py(), np.int64) for c in (0, 2))
+                    q, v = (batch.column(c)[i].values.to_numpy(zero_copy_only=False).reshape(n, -1) for c, n in ((1, len(names)), (3, len(ids))))
+                    yield _best(names, q, ids, v, k, metric)
+
+        left = _packed(asked, "query_id", "vector").toDF("q_ids", "q_flat")
+        found = left.crossJoin(_packed(rows, "doc_id", "embedding")).mapInArrow(meet, schema)
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("doc_id"))
     return found.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
 

@@ -36,7 +36,7 @@ def boosted(candidates: DataFrame, edges: DataFrame, weight: float, limit: int)
     scored = candidates.select("query_id", "doc_id", "score")
     if weight > 0:
         around = edges.unionAll(edges.select("dst", "src"))
-        ids = F.broadcast(scored.select(F.col("doc_id").alias("src")).distinct())
+        ids = scored.select(F.col("doc_id").alias("src")).distinct()
         near = around.join(ids, "src", "left_semi").join(scored.select("query_id", F.col("doc_id").alias("dst"), F.col("score").alias("theirs")), "dst")
         mean = near.groupBy("query_id", F.col("src").alias("doc_id")).agg(F.avg("theirs").alias("mean"))
         scored = scored.join(mean, ["query_id", "doc_id"], "left").select("query_id", "doc_id", (F.col("score") + weight * F.coalesce("mean", F.lit(0.0))).alias("score"))

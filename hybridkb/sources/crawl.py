@@ -56,7 +56,7 @@ def _budget(level: DataFrame, rest: int) -> DataFrame:
 def crawl(site: DataFrame, root: str, config: CrawlConfig = CrawlConfig(), validators: DataFrame | None = None, known_edges: DataFrame | None = None, robots: DataFrame | None = None) -> DataFrame:
     """(url, url_key, depth, place, outcome, yielded) of a breadth-first crawl from ``root``.
 
-    ``site`` (url, kind, body, status, etag[, final_url]) answers the fetches; a URL that it lacks is a failure.
+    ``site`` (url, kind, body, status, etag[, final_url, url_key]) answers the fetches; a URL that it lacks is a failure.
     ``validators`` (url_key, etag): a page whose etag is the known one is 'revalidated'; it takes no page
     budget, and its children come from ``known_edges`` (url_key, children). ``robots`` (host, path)
     are disallowed prefixes. Outcomes: fetched, revalidated, failed. ``yielded`` is false where only the
@@ -70,7 +70,8 @@ def crawl(site: DataFrame, root: str, config: CrawlConfig = CrawlConfig(), valid
     if parsed is None:
         raise ValueError(f"not a URL: {root}")
     start = parsed.text(fragment=False)
-    pages = site.withColumn("url_key", urls.url_key_udf("url")).select("url_key", F.col("url").alias("site_url"), "kind", "body", "status", "etag", (F.col("final_url") if "final_url" in site.columns else F.lit(None).cast("string")).alias("final_url"))
+    keyed = site if "url_key" in site.columns else site.withColumn("url_key", urls.url_key_udf("url"))
+    pages = keyed.select("url_key", F.col("url").alias("site_url"), "kind", "body", "status", "etag", (F.col("final_url") if "final_url" in site.columns else F.lit(None).cast("string")).alias("final_url"))
     frontier = spark.createDataFrame([(start, urls.url_key(start), 0)], "url string, url_key long, place long")
     seen: DataFrame | None = None
     levels: list[DataFrame] = []
@@ -88,7 +89,7 @@ def crawl(site: DataFrame, root: str, config: CrawlConfig = CrawlConfig(), valid
         if depth:
             good = good & urls.in_scope(root_col, F.col("effective"), config.scope, config.allow)
         if robots is not None:
-            level = level.withColumn("_host", urls.host_of(F.col("url"))).join(F.broadcast(robots.groupBy(F.col("host").alias("_host")).agg(F.collect_list("path").alias("_no"))), "_host", "left")
+            level = level.withColumn("_host", urls.host_of(F.col("url"))).join(robots.groupBy(F.col("host").alias("_host")).agg(F.collect_list("path").alias("_no")), "_host", "left")
             barred = F.coalesce(F.exists("_no", lambda p: urls.url_path(F.col("url")).startswith(p)), F.lit(False))
             good = good & ~barred
         level = level.withColumns({"outcome": F.when(good & same, "revalidated").when(good, "fetched").otherwise("failed"), "ok": good & ~same})

@@ -108,3 +108,21 @@ def test_embedder():
     a, b = e.embed("Shared words here"), e.embed_batch(["Shared words here", "", None])
     assert np.allclose(a, b[0]) and np.isclose((a * a).sum(), 1) and not b[1].any() and not b[2].any()
     assert float(a @ e.embed("shared words there")) > float(a @ e.embed("quite unlike"))
+
+
+def test_batches_of_dense_queries(spark, monkeypatch):
+    from hybridkb.operators import dense
+
+    rng = np.random.default_rng(3)
+    v = rng.standard_normal((60, 5))
+    v[7] = v[3]
+    vecs = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)] + [(99, None), (98, [1.0])], "doc_id long, embedding array<double>")
+    asked = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v[:20])], "query_id long, vector array<double>")
+    for held in (20_000, 5):
+        monkeypatch.setattr(dense, "MAX_HELD", held)
+        for metric in ("dot", "l2"):
+            s = v[:20] @ v.T if metric == "dot" else -((v[:20, None] - v[None]) ** 2).sum(2)
+            want = {(i, r + 1): int(j) for i in range(20) for r, j in enumerate(np.lexsort((np.arange(60), -s[i].round(9)))[:4])}
+            got = dense.batch_top_k(vecs, asked, 4, metric).collect()
+            assert {(r.query_id, r.rank): r.doc_id for r in got} == want
+    assert dense.batch_top_k(vecs, asked, 0).count() == 0

@@ -24,12 +24,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from hybridkb.llm.memory import held, lean
 from hybridkb.session import pick
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
-RUN_BYTES = 2_000_000
+RUN_BYTES = 500_000
 #: Entries after which a worker forgets its slices; it affects speed and memory alone.
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 200_000
 SHORT = 64
 NONE = np.int32(2**31 - 1)
 
@@ -348,12 +349,12 @@ class Encoder:
 def text_runs(column: pa.Array, run_bytes: int = RUN_BYTES) -> Iterator[tuple[int, int, bytes, np.ndarray]]:
     """(first row, row after the last, bytes, edges) of successive rows of a string column; null is
     empty. A row larger than a run is a run by itself."""
-    column = column.cast(pa.large_string())
     column = column.fill_null("") if column.null_count else column
     n = len(column)
     if not n:
         return
-    edges = np.frombuffer(column.buffers()[1], np.int64, n + 1, 8 * column.offset)
+    width = 8 if pa.types.is_large_string(column.type) else 4
+    edges = np.frombuffer(column.buffers()[1], f"<i{width}", n + 1, width * column.offset).astype(np.int64)
     raw = memoryview(column.buffers()[2]) if column.buffers()[2] is not None else memoryview(b"")
     a = 0
     while a < n:
@@ -362,15 +363,10 @@ def text_runs(column: pa.Array, run_bytes: int = RUN_BYTES) -> Iterator[tuple[in
         a = b
 
 
-_held: dict[str, Encoder] = {}
-
-
 def worker_encoder(shared) -> Encoder:
     """One encoder for each Python worker and broadcast vocabulary."""
-    key = str(shared.value.__dict__.get("name", id(shared.value)))
-    if key not in _held:
-        _held[key] = Encoder(shared.value)
-    return _held[key]
+    key = ("bpe", str(shared.value.__dict__.get("name", id(shared.value))))
+    return held(key, lambda: Encoder(shared.value))
 
 
 def share(spark, path: str):
@@ -410,7 +406,7 @@ def encode_documents(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame
                     names=["doc_id", "n_tokens", "ids", "offsets", "round_trip"],
                 )
 
-    return pick(docs, "doc_id", "text").selectExpr("doc_id", "cast(text as string) text").mapInArrow(run, ENCODED)
+    return pick(docs, "doc_id", "text").selectExpr("doc_id", "cast(text as string) text").mapInArrow(lean(run), ENCODED)
 
 
 def decode_documents(encoded: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
@@ -432,4 +428,4 @@ def decode_documents(encoded: DataFrame, vocabulary: str = VOCABULARY) -> DataFr
                 texts.append(v.decode(got).tobytes().decode(errors="replace"))
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
-    return pick(encoded, "doc_id", "ids").mapInArrow(run, "doc_id long, text string")
+    return pick(encoded, "doc_id", "ids").mapInArrow(lean(run), "doc_id long, text string")

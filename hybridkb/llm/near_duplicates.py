@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from hybridkb.llm.bpe import text_runs
 from hybridkb.llm.components import Unions, connected_components
+from hybridkb.llm.memory import lean
 from hybridkb.session import materialise, pick
 
 NGRAM, THRESHOLD = 3, 0.75
@@ -36,6 +37,7 @@ BLOCK = 1024
 #: Rows of a (doc_id, ...) table that may be broadcast; beyond it the join is shuffled.
 BROADCAST_ROWS = 2_000_000
 RUN_BYTES = 8_000_000
+PIECE_BYTES = 500_000
 
 _U = np.uint64
 _STEP, _BACK = 0xD1342543DE82EF95, pow(0xD1342543DE82EF95, -1, 1 << 64)
@@ -62,7 +64,21 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def gram_sets(data: bytes, edges: np.ndarray, n: int = NGRAM) -> tuple[np.ndarray, np.ndarray]:
     """(hashes, bounds): the sorted distinct n-gram hashes of text i are hashes[bounds[i]:bounds[i + 1]].
-    Words are runs without ASCII white space; a text of fewer than n words is one n-gram."""
+    Words are runs without ASCII white space; a text of fewer than n words is one n-gram.
+    Texts are taken up to ``PIECE_BYTES`` at a time (a longer one by itself), as the work needs 50 times their size."""
+    out, sizes, a, texts = [], [], 0, len(edges) - 1
+    while a < texts:
+        b = max(a + 1, int(np.searchsorted(edges, edges[a] + PIECE_BYTES, "right")) - 1)
+        hashes, bounds = _gram_piece(data[edges[a] : edges[b]], edges[a : b + 1] - edges[a], n)
+        out.append(hashes)
+        sizes.append(np.diff(bounds))
+        a = b
+    if not out:
+        return np.empty(0, _U), np.zeros(1, np.int64)
+    return np.concatenate(out), np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
+
+
+def _gram_piece(data: bytes, edges: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     texts = len(edges) - 1
     raw = np.frombuffer(data, np.uint8)
     if not len(raw):
@@ -280,8 +296,8 @@ def candidate_links(docs: DataFrame, n: int, threshold: float) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(got[0]), pa.array(got[1])], names=["a", "b"])
 
     rows = pick(docs, "doc_id", "text").selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").where("doc_id IS NOT NULL AND text IS NOT NULL")
-    blocks = rows.mapInArrow(emit, "part int, sig binary, owner binary, entries binary").repartition(parts, "part")
-    return blocks.mapInArrow(meet, "a long, b long")
+    blocks = rows.mapInArrow(lean(emit), "part int, sig binary, owner binary, entries binary").repartition(parts, "part")
+    return blocks.mapInArrow(lean(meet), "a long, b long")
 
 
 def intersections(hashes: list[np.ndarray]) -> np.ndarray:
@@ -333,7 +349,7 @@ def jaccard_pairs(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD,
                 got = [hashes[x:y].tobytes() for x, y in zip(bounds, bounds[1:])]
                 yield pa.RecordBatch.from_arrays([*(batch.column(k)[a:b] for k in range(4)), pa.array(got, pa.binary())], names=["component", "block", "blocks", "doc_id", "grams"])
 
-    sets = members.mapInArrow(grams, "component long, block int, blocks int, doc_id long, grams binary")
+    sets = members.mapInArrow(lean(grams), "component long, block int, blocks int, doc_id long, grams binary")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     met = sets.withColumn("other", other).select("component", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "doc_id", "grams")
     met = met.repartition("component", "x", "y").sortWithinPartitions("component", "x", "y")
@@ -386,7 +402,7 @@ def jaccard_pairs(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD,
         close()
         yield from give()
 
-    return met.mapInArrow(verify, "doc_a long, doc_b long, jaccard double").withColumn("jaccard", F.round("jaccard", 6))
+    return met.mapInArrow(lean(verify), "doc_a long, doc_b long, jaccard double").withColumn("jaccard", F.round("jaccard", 6))
 
 
 def keep_one_of_each(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD) -> DataFrame:

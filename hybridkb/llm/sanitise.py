@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hybridkb.llm.memory import lean, tidy
 from hybridkb.session import materialise, pick
 
 ALPHA = 0.9
@@ -110,7 +111,7 @@ def term_frequencies(docs: DataFrame) -> DataFrame:
                     yield from give()
         yield from give()
 
-    return docs.mapInArrow(run, "term string, df long").groupBy("term").agg(F.sum("df").alias("df"))
+    return docs.mapInArrow(lean(run), "term string, df long").groupBy("term").agg(F.sum("df").alias("df"))
 
 
 def entity_terms(docs: DataFrame) -> DataFrame:
@@ -139,7 +140,7 @@ def entity_terms(docs: DataFrame) -> DataFrame:
             if held:
                 yield from pa.Table.from_batches(held).combine_chunks().to_batches()
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(lean(run), schema)
 
 
 def disclosing_terms(docs: DataFrame, alpha: float = ALPHA, min_contexts: float = MIN_CONTEXTS, min_values: int = MIN_VALUES) -> DataFrame:
@@ -224,6 +225,7 @@ def clean_column(docs: DataFrame, text: str = "text", **params) -> Column:
     def clean(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in batches:
             yield pd.Series([None if t is None else clean_text(t, terms.value)[0] for t in s], dtype=object)
+        tidy()
 
     return clean(F.col(text).cast("string"))
 
@@ -245,4 +247,4 @@ def sanitise_documents(docs: DataFrame, **params) -> DataFrame:
                 names=["doc_id", "text", "n_entities", "n_terms"],
             )
 
-    return pick(docs, "doc_id", "text").selectExpr("doc_id", "cast(text as string) text").mapInArrow(run, "doc_id long, text string, n_entities int, n_terms int")
+    return pick(docs, "doc_id", "text").selectExpr("doc_id", "cast(text as string) text").mapInArrow(lean(run), "doc_id long, text string, n_entities int, n_terms int")

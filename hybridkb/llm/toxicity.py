@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from hybridkb.llm.memory import held, lean, tidy
 from hybridkb.session import pick
 
 #: Labelled rows used for fitting, at most; chosen by a seeded hash.
@@ -32,7 +33,7 @@ THRESHOLD = 0.5
 STEMS = (4, 5, 6)
 SURPRISE, LEAST_SHARE = 17.0, 0.9
 #: Known tokens a worker remembers before it starts anew; a cache alone.
-CACHE_TOKENS = 500_000
+CACHE_TOKENS = 200_000
 
 ACCENTED = "àâäáãåæçèéêëìíîïñòóôöõøùúûüýÿßœšž"
 SIZE = 64
@@ -97,7 +98,7 @@ def count_characters(docs: DataFrame) -> np.ndarray:
         cells = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(cells, pa.int32()), pa.array(total[cells], pa.int64())], names=["cell", "n"])
 
-    rows = pick(docs, "text").selectExpr("cast(text as string) text").mapInArrow(run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
+    rows = pick(docs, "text").selectExpr("cast(text as string) text").mapInArrow(lean(run), "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
     out = np.zeros(SIZE**3)
     out[rows["cell"].to_numpy()] = rows["n"].to_numpy()
     return out
@@ -286,7 +287,7 @@ def learn_lexicon(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LA
             got = [_sketch(t) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(got, pa.list_(pa.int64()))], names=["doc_id", "toxic", "sketch"])
 
-    seen = texts.select("doc_id", "text", "toxic").mapInArrow(sketches, "doc_id long, toxic int, sketch array<long>").collect()
+    seen = texts.select("doc_id", "text", "toxic").mapInArrow(lean(sketches), "doc_id long, toxic int, sketch array<long>").collect()
     toxic_of = {r.doc_id: r.toxic for r in seen}
     kept = drop_copies(sorted((r.doc_id, r.sketch) for r in seen))
     n_toxic = sum(toxic_of[i] == 1 for i in kept)
@@ -306,16 +307,13 @@ def learn_lexicon(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LA
             yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), pa.array([toxic[f] for f in part], pa.int64()), pa.array([clean[f] for f in part], pa.int64())], names=["feature", "a", "b"])
 
     once = texts.join(F.broadcast(chosen), "doc_id", "left_semi").select("text", "toxic")
-    sums = once.mapInArrow(count, "feature string, a long, b long").groupBy("feature").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    sums = once.mapInArrow(lean(count), "feature string, a long, b long").groupBy("feature").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
     share = F.col("a") / (F.col("a") + F.col("b"))
     ratio = F.col("a") * F.log(share / base) + F.when(F.col("b") > 0, F.col("b") * F.log((1 - share) / (1 - base))).otherwise(0.0)
     strong = sums.where("a > 0").withColumns({"ratio": ratio, "p": (F.col("a") + 0.5) / (F.col("a") + F.col("b") + 1)})
     return {r.feature: round(r.p, 6) for r in strong.where((F.col("ratio") >= SURPRISE) & (F.col("p") >= LEAST_SHARE)).select("feature", "p").collect()}
 
 
-_scorers: dict[int, Scorer] = {}
-
-
 def toxicity_column(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, text: str = "text") -> Column:
     """Score of the column ``text``, fitted on ``docs`` and ``labels``."""
     lexicon = learn_lexicon(docs, labels, max_labelled)
@@ -325,12 +323,10 @@ def toxicity_column(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_
 
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        key = id(shared.value)
-        if key not in _scorers:
-            _scorers.clear()
-            _scorers[key] = Scorer(*shared.value)
+        scorer = held(("toxicity", id(shared.value)), lambda: Scorer(*shared.value))
         for s in batches:
-            yield pd.Series([_scorers[key].score(t) for t in s], dtype="float64")
+            yield pd.Series([scorer.score(t) for t in s], dtype="float64")
+        tidy()
 
     return score(F.col(text).cast("string"))
 

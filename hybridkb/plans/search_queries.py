@@ -53,7 +53,8 @@ def _hybrid(spark, sf_dir, where=None, params=fusion.RankParams(), limit=10):
     docs = kb_docs(spark, sf_dir)
     terms = docs.select("doc_id", capped_terms(F.col("text")).alias("terms"))
     asked = spark.createDataFrame([(0, VECTOR, ASKED)], "query_id long, vector array<double>, terms array<string>")
-    ranked = search.hybrid(docs, vectors(spark, sf_dir), bm25.postings(terms), bm25.corpus_stats(terms), asked, limit, where, params, link_edges(spark, sf_dir))
+    vecs = vectors(spark, sf_dir).join(docs.select("doc_id"), "doc_id", "left_semi")
+    ranked = search.hybrid(docs, vecs, bm25.postings(terms), bm25.corpus_stats(terms), asked, limit, where, params, link_edges(spark, sf_dir))
     return docs.select("doc_id", "url").join(ranked, "doc_id").select("doc_id", "url", F.round("score", 6).alias("score"), "rank")
 
 

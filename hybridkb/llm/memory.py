@@ -7,17 +7,32 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 
-_slot: list = [None, None]
+_slot: list = [None, None, False]
 
 
 def held(key, make: Callable):
     """The worker's one cached object: that of ``key``, made anew where another key had the place."""
     if _slot[0] != key:
-        _slot[:] = [None, None]
-        _slot[:] = [key, make()]
+        _slot[:2] = [None, None]
+        _slot[:2] = [key, make()]
     return _slot[1]
 
 
+def steady() -> None:
+    """Large blocks are mapped and unmapped as they are used, Arrow's too, instead of being kept for
+    later; a worker that waits for its next task then holds little more than its modules."""
+    if _slot[2]:
+        return
+    _slot[2] = True
+    pa.set_memory_pool(pa.system_memory_pool())
+    try:
+        libc = ctypes.CDLL("libc.so.6")
+        libc.mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD
+        libc.mallopt(-1, 1 << 20)  # M_TRIM_THRESHOLD
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def tidy() -> None:
     """Give pages that are free back to the machine; workers of other stages live beside this one."""
     pa.default_memory_pool().release_unused()
@@ -31,7 +46,9 @@ def lean(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
     """``run`` over a partition, tidied after it."""
 
     def within(batches: Iterator) -> Iterator:
+        steady()
         yield from run(batches)
+        del batches
         tidy()
 
     return within

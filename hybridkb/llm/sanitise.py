@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hybridkb.llm.memory import lean, tidy
+from hybridkb.llm.memory import lean, steady, tidy
 from hybridkb.session import materialise, pick
 
 ALPHA = 0.9
@@ -223,8 +223,10 @@ def clean_column(docs: DataFrame, text: str = "text", **params) -> Column:
 
     @F.pandas_udf("string")
     def clean(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        steady()
         for s in batches:
             yield pd.Series([None if t is None else clean_text(t, terms.value)[0] for t in s], dtype=object)
+        s = None
         tidy()
 
     return clean(F.col(text).cast("string"))

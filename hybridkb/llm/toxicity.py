@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hybridkb.llm.memory import held, lean, tidy
+from hybridkb.llm.memory import held, lean, steady, tidy
 from hybridkb.session import pick
 
 #: Labelled rows used for fitting, at most; chosen by a seeded hash.
@@ -323,9 +323,11 @@ def toxicity_column(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_
 
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        steady()
         scorer = held(("toxicity", id(shared.value)), lambda: Scorer(*shared.value))
         for s in batches:
             yield pd.Series([scorer.score(t) for t in s], dtype="float64")
+        s = None
         tidy()
 
     return score(F.col(text).cast("string"))

@@ -12,10 +12,10 @@ Sets that share a signature are compared by size and by a 128-bit sketch (its li
 deviations below what a pair at the threshold has); the pairs that stay are linked into
 components, and within each component the true intersections are computed.
 
-Scale: signatures travel in binary blocks, a few for each task and shuffle partition; a pair is
-compared where its first common signature is, not at each. Pairs are never shuffled: links
-are, at most one for each document and task. Large components are cut into blocks of
-``BLOCK`` documents, which meet pairwise.
+Scale: signatures travel in binary blocks, a few for each task and shuffle partition, cut to 32 bits
+there (a chance meeting costs one comparison). Pairs are never shuffled: links are, at
+most one for each document and task. Large components are cut into blocks of ``BLOCK`` documents, which
+meet pairwise.
 """
 
 from __future__ import annotations
@@ -162,12 +162,7 @@ def sketches(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return np.packbits(bits.reshape(sets, 128), axis=1).view(np.uint64).reshape(sets, 2)
 
 
-ENTRY = np.dtype([("id", "<i8"), ("size", "<i4"), ("lead", "<u8"), ("s0", "<u8"), ("s1", "<u8")])
-LEAD_BITS = 21
-
-
-def lead_hash(signature: np.ndarray) -> np.ndarray:
-    return _mix(signature + _U(77)) >> _U(64 - LEAD_BITS)
+ENTRY = np.dtype([("id", "<i8"), ("size", "<i4"), ("s0", "<u8"), ("s1", "<u8")])
 
 
 def signatures(hashes: np.ndarray, bounds: np.ndarray, ids: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -190,10 +185,6 @@ def signatures(hashes: np.ndarray, bounds: np.ndarray, ids: np.ndarray, bands: B
         start = np.flatnonzero(np.append(True, place[1:] != place[:-1]))[: quota[k] + 1]
         content = np.add.reduceat(spread[own][order] | _U(1), start)[: quota[k]]
         got = _mix(content * _U(0x9E3779B97F4A7C15) + place[start[: quota[k]]] + _U((b * 0xC2B2AE3D27D4EB4F) & (2**64 - 1)))
-        lead = 0
-        for h in lead_hash(got[:3]).tolist():
-            lead = lead << LEAD_BITS | h | 0
-        entries["lead"][i] = lead
         out.append(got)
         owner.append(np.full(len(got), i, np.int64))
     if not out:
@@ -201,56 +192,62 @@ def signatures(hashes: np.ndarray, bounds: np.ndarray, ids: np.ndarray, bands: B
     return np.concatenate(out), np.concatenate(owner), entries
 
 
-def alike(a: np.ndarray, b: np.ndarray, signature: np.ndarray, threshold: float) -> np.ndarray:
-    """Which pairs of entries that share ``signature`` are to be linked here."""
+def alike(a: np.ndarray, b: np.ndarray, threshold: float) -> np.ndarray:
+    """Which pairs of entries may be similar, by size and sketch."""
     small, large = np.minimum(a["size"], b["size"]), np.maximum(a["size"], b["size"])
     same = 128 - np.bitwise_count(a["s0"] ^ b["s0"]).astype(np.int64) - np.bitwise_count(a["s1"] ^ b["s1"])
     p = (1 + threshold) / 2
-    ok = (small >= threshold * large - 1e-9) & (same >= 128 * p - 4.5 * np.sqrt(128 * p * (1 - p))) & (a["id"] != b["id"])
-    where = np.flatnonzero(ok)
-    if not len(where):
-        return ok
-    a, b, mine = a[where], b[where], lead_hash(signature[where])
-    mask = _U((1 << LEAD_BITS) - 1)
-    first = np.zeros(len(a), _U)  # the first signature among the leading three of both
-    for i in (0, 1, 2):
-        x = (a["lead"] >> _U(LEAD_BITS * i)) & mask
-        shared = np.zeros(len(a), bool)
-        for j in (0, 1, 2):
-            shared |= ((b["lead"] >> _U(LEAD_BITS * j)) & mask) == x
-        first = np.where(shared & (x != 0), x, first)
-    ok[where] = (first == 0) | (first == mine)
-    return ok
+    return (small >= threshold * large - 1e-9) & (same >= 128 * p - 4.5 * np.sqrt(128 * p * (1 - p)))
 
 
 def links(signature: np.ndarray, owner: np.ndarray, entries: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """(id, least id linked with it), from entries that meet in a signature and are alike."""
+    """(id, least id linked with it), from entries that meet in a signature and are alike.
+
+    What counts is who is connected: in each signature's group the first entry is compared with all
+    others, and only pairs that are not yet connected are compared after that. A group of
+    copies takes as many comparisons as it has members, once for all its signatures.
+    """
     if not len(signature):
         return np.empty(0, np.int64), np.empty(0, np.int64)
     ids, number = np.unique(entries["id"], return_inverse=True)
     unions = Unions(len(ids))
 
-    def consider(x: np.ndarray, y: np.ndarray, sig: np.ndarray) -> None:
-        ok = alike(entries[x], entries[y], sig, threshold)
+    def consider(x: np.ndarray, y: np.ndarray) -> None:
+        apart = unions.roots(number[x]) != unions.roots(number[y])
+        x, y = x[apart], y[apart]
+        ok = alike(entries[x], entries[y], threshold)
         unions.join(number[x[ok]], number[y[ok]])
 
+    def open_groups(at: np.ndarray, m: int) -> np.ndarray:
+        root = unions.roots(number[owner[at[:, None] + np.arange(m)]].reshape(-1)).reshape(-1, m)
+        return at[(root != root[:, :1]).any(1)]
+
     order = np.argsort(signature, kind="stable")
     signature, owner = signature[order], owner[order]
     start = np.flatnonzero(np.append(True, signature[1:] != signature[:-1]))
     count = np.diff(np.append(start, len(signature)))
-    for m in np.unique(count[count > 1]).tolist():
-        at = start[count == m]
-        i, j = np.triu_indices(m, 1)
-        step = max(1, 500_000 // len(i))
-        if len(i) <= 2_000_000:
-            for k in range(0, len(at), step):
-                rows = at[k : k + step, None]
-                consider(owner[rows + i].reshape(-1), owner[rows + j].reshape(-1), np.repeat(signature[rows[:, 0]], len(i)))
-            continue
-        for s in at.tolist():  # a large group, by rows
-            members = owner[s : s + m]
-            for r in range(0, m - 1):
-                consider(np.full(m - r - 1, members[r]), members[r + 1 :], np.full(m - r - 1, signature[s]))
+    for m in np.unique(count[count > 1])[::-1].tolist():
+        groups = start[count == m]
+        for k in range(0, len(groups), max(1, 500_000 // m)):
+            at = open_groups(groups[k : k + max(1, 500_000 // m)], m)
+            if not len(at):
+                continue
+            consider(np.repeat(owner[at], m - 1), owner[at[:, None] + np.arange(1, m)].reshape(-1))
+            if m == 2:
+                continue
+            at = open_groups(at, m)
+            if m <= 512:
+                i, j = np.triu_indices(m - 1, 1)
+                for r in range(0, len(at), max(1, 500_000 // len(i))):
+                    rows = at[r : r + max(1, 500_000 // len(i)), None] + 1
+                    consider(owner[rows + i].reshape(-1), owner[rows + j].reshape(-1))
+                continue
+            for s in at.tolist():  # a large group, by rows, until it is connected
+                members = owner[s : s + m]
+                for r in range(1, m - 1):
+                    consider(np.full(m - r - 1, members[r]), members[r + 1 :])
+                    if r % 16 == 0 and not len(open_groups(np.array([s]), m)):
+                        break
     root = ids[unions.roots(np.arange(len(ids)))]
     moved = root != ids
     return ids[moved], root[moved]
@@ -279,7 +276,7 @@ def candidate_links(docs: DataFrame, n: int, threshold: float) -> DataFrame:
                     x, y = edge[p], edge[p + 1]
                     if x < y:
                         used, local = np.unique(owner[x:y], return_inverse=True)
-                        rows.append((p, sig[x:y].tobytes(), local.astype("<u4" if len(used) > 65535 else "<u2").tobytes(), entries[used].tobytes()))
+                        rows.append((p, (sig[x:y] >> _U(32)).astype("<u4").tobytes(), local.astype("<u4" if len(used) > 65535 else "<u2").tobytes(), entries[used].tobytes()))
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), *(pa.array([r[k] for r in rows], pa.binary()) for k in (1, 2, 3))], names=["part", "sig", "owner", "entries"])
 
@@ -288,7 +285,7 @@ def candidate_links(docs: DataFrame, n: int, threshold: float) -> DataFrame:
         for batch in batches:
             for p, sig, owner, entries in zip(*(c.to_pylist() for c in batch.columns)):
                 e = np.frombuffer(entries, ENTRY)
-                held.setdefault(p, []).append((np.frombuffer(sig, _U), np.frombuffer(owner, "<u4" if len(e) > 65535 else "<u2"), e))
+                held.setdefault(p, []).append((np.frombuffer(sig, "<u4"), np.frombuffer(owner, "<u4" if len(e) > 65535 else "<u2"), e))
         for p in list(held):
             blocks = held.pop(p)
             base = np.cumsum([0] + [len(b[2]) for b in blocks[:-1]])

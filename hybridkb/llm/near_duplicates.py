@@ -317,7 +317,7 @@ def intersections(hashes: list[np.ndarray]) -> np.ndarray:
         dense[of[a:b], column[a:b] - c] = 1
         out += dense @ dense.T
     np.fill_diagonal(out, size)
-    return out.astype(np.int64)
+    return out.astype(np.int32)
 
 
 def jaccard_pairs(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD, spanning: bool = False) -> DataFrame:
@@ -361,12 +361,17 @@ def jaccard_pairs(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD,
             ids, block = np.array([h[1] for h in held]), np.array([h[0] for h in held])
             sets = [np.frombuffer(h[2], _U) for h in held]
             inter = intersections(sets)
-            size = inter.diagonal()
-            union = size[:, None] + size[None, :] - inter
-            good = (inter >= threshold * union - 1e-9) & (ids[:, None] < ids[None, :])
-            if key[1] != key[2]:
-                good &= block[:, None] != block[None, :]
-            a, b = np.nonzero(good)
+            size = inter.diagonal().astype(np.int64)
+            found = []
+            for r in range(0, len(ids), 256):  # by rows, so that no further table of pairs is held
+                rows = slice(r, r + 256)
+                union = size[rows, None] + size[None, :] - inter[rows]
+                good = (inter[rows] >= threshold * union - 1e-9) & (ids[rows, None] < ids[None, :])
+                if key[1] != key[2]:
+                    good &= block[rows, None] != block[None, :]
+                x, y = np.nonzero(good)
+                found.append((x + r, y))
+            a, b = (np.concatenate([f[k] for f in found]) for k in (0, 1))
             if not len(a):
                 return
             if spanning:
@@ -377,7 +382,7 @@ def jaccard_pairs(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD,
                 on = root != np.arange(len(names))
                 out.append((names[root[on]], names[on], np.ones(on.sum())))
                 return
-            j = inter[a, b] / union[a, b]
+            j = inter[a, b] / (size[a] + size[b] - inter[a, b])
             order = np.lexsort((-j, ids[b], ids[a]))
             a, b, j = ids[a][order], ids[b][order], j[order]
             once = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))

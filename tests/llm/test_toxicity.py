@@ -113,3 +113,45 @@ def test_odd_rows(spark):
 def test_copies_teach_once():
     a, b = list(range(8)), [0, 1, 2, 3, 4, 5, 90, 91]
     assert tx.drop_copies([(1, a), (2, a), (3, b), (4, [99] * 8)]) == [1, 4]
+
+
+ENDINGS = [a + b for a in ("ta", "re", "lo", "mi", "an", "or", "") for b in ("ser", "nu", "dil", "pe", "gam", "ho")]
+INFLECTED = {"x": "blunst", "y": "kveldra"}
+
+
+def inflected(n=1200):
+    """Toxic documents hold three forms of their language's stem, none common; many clean ones hold one."""
+    r = random.Random(6)
+    docs, labels = [], []
+    for i in range(n):
+        lang, bad = "xy"[i % 2], i % 8 < 2
+        words = [r.choice(WORDS) for _ in range(60)]
+        for e in r.sample(ENDINGS, 3 if bad else r.random() < 0.3):
+            words[r.randrange(60)] = INFLECTED[lang] + e
+        docs.append((i, " ".join(words), lang))
+        labels.append((i, 1, int(bad)))
+    return docs, labels
+
+
+@pytest.fixture(scope="module")
+def inflected_scorer(spark):
+    """Fitted on the first half."""
+    docs, labels = inflected()
+    frame = spark.createDataFrame(docs, DOCS + ", lang string")
+    lexicon = tx.learn_lexicon(frame, spark.createDataFrame(labels[:600], LABELS))
+    return tx.Scorer(lexicon, tx.language_model(tx.count_characters(frame), [w for w in sorted(lexicon) if w[-1] != "*"]))
+
+
+@pytest.mark.parametrize("lang", ["x", "y"])
+def test_forms_of_a_stem_add_up(inflected_scorer, lang):
+    """Held-out recall and precision of a language whose toxic words are inflected."""
+    docs, labels = inflected()
+    got = {bad: [inflected_scorer.score(t) >= tx.THRESHOLD for (_, t, g), (_, _, y) in zip(docs[600:], labels[600:]) if g == lang and y == bad] for bad in (0, 1)}
+    assert np.mean(got[1]) >= 0.9 and np.mean(got[0]) <= 0.02
+
+
+def test_surprise_is_the_poisson_tail():
+    for k, mean in ((1, 0.01), (3, 0.5), (9, 2.0)):
+        below = sum(math.exp(-mean) * mean**i / math.factorial(i) for i in range(k))
+        assert math.isclose(tx.surprise(k, mean), -math.log(1 - below), rel_tol=1e-6)
+    assert tx.surprise(2, 5.0) == 0.0

@@ -43,7 +43,7 @@ LEVELS = (2.0, 3.0, 4.0, 5.0, 6.0, 7.0, 8.0, 10.0, 12.0, 15.0)
 #: Places that an entry counts for in clean documents besides those seen.
 UNSEEN = 0.01
 #: Words of a language by which its rates are drawn to those of all.
-DRAWN = 20_000
+DRAWN = 2_000
 #: Known tokens a worker remembers before it starts anew; a cache alone.
 CACHE_TOKENS = 200_000
 
@@ -205,7 +205,8 @@ class Scorer:
         self.hits: dict[str, tuple[str, list[str]]] = {}
 
     def look_up(self, word: str) -> list[str]:
-        return [e for e in _entries(word) if e in self.lexicon]
+        """Its entries; a word of the lexicon is no form of a stem."""
+        return [e for e in _entries(word) if e in self.lexicon][: 1 if word in self.lexicon else None]
 
     def restore(self, token: str) -> str:
         """The token's likeliest reading; itself where nothing disguises it."""
@@ -385,9 +386,18 @@ class Evidence:
         return out
 
 
-def choose(seen: Evidence) -> dict[str, tuple[float, float]]:
-    """{entry: (share, level)}."""
-    return seen.words() | seen.stems()
+def choose(seen: Evidence, rounds: int = 3) -> dict[str, tuple[float, float]]:
+    """{entry: (share, level)}. A stem needs evidence beside the words admitted; a word under a stem
+    needs evidence in documents that the stem does not catch, as it may be one of many ordinary forms."""
+    words = kept = seen.words()
+    for _ in range(rounds):
+        stems = seen.stems(set(kept))
+        kept = {}
+        for w, v in words.items():
+            caught = {i for e in _entries(w)[1:] if e in stems for i, s in seen.surprises(e).items() if s >= stems[e][1]}
+            if not caught or seen.best(seen.surprises(w), caught):
+                kept[w] = v
+    return kept | seen.stems(set(kept))
 
 
 def learn_lexicon(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, seed: int = 5) -> dict[str, tuple[float, float, float]]:

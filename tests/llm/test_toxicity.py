@@ -155,3 +155,32 @@ def test_surprise_is_the_poisson_tail():
         below = sum(math.exp(-mean) * mean**i / math.factorial(i) for i in range(k))
         assert math.isclose(tx.surprise(k, mean), -math.log(1 - below), rel_tol=1e-6)
     assert tx.surprise(2, 5.0) == 0.0
+
+
+def test_stems_need_more_than_a_word_admitted(scorer):
+    """And no stem rides in on a whole word."""
+    assert set(scorer.lexicon) == set(BAD)
+    assert scorer.score("tare grimpen blatter scrovan lomi") == 0.0
+
+
+def test_one_ordinary_form_does_not_reject():
+    """A form that chance put into toxic documents alone is judged with its stem, and by length."""
+    toxic = {i: int(i < 30) for i in range(330)}
+    places = {(i, "blunst" + e): 1 for i in range(30) for e in ("ta", "re", "lo")} | {(i, "blunst" + "mi"): 1 for i in range(30, 90)}
+    rates = {"blunstta": 1e-6, "blunst*": 60 / 30000}
+    got = tx.choose(tx.Evidence(toxic, dict.fromkeys(toxic, 100), places, rates))
+    assert set(got) == {"blunst*"}
+    stem = tx.Scorer({"blunst*": (*got["blunst*"], rates["blunst*"])}, np.zeros(tx.SIZE**3))
+    assert stem.score("tare " * 97 + "blunstta blunstre blunstlo") >= tx.THRESHOLD
+    assert stem.score("tare " * 99 + "blunstta") == 0.0
+    assert stem.score("tare " * 2997 + "blunstta blunstre blunstlo") == 0.0, "three forms are no surprise in a long text"
+
+
+@pytest.mark.parametrize("lang", ["x", "y"])
+@pytest.mark.parametrize("size", [1, 20])
+def test_clean_documents_of_any_length_stay(inflected_scorer, lang, size):
+    """Held-out clean documents, alone and twenty of a language joined."""
+    docs, labels = inflected()
+    clean = [t for (_, t, g), (_, _, y) in zip(docs[600:], labels[600:]) if g == lang and not y]
+    texts = [" ".join(clean[i : i + size]) for i in range(0, len(clean), size)]
+    assert np.mean([inflected_scorer.score(t) >= tx.THRESHOLD for t in texts]) <= 0.02

@@ -114,3 +114,17 @@ def test_odd_rows(spark):
     by = {r.doc_id: r for r in got}
     assert by[1].text is None and by[2].text == "" and by[None].text == "[EMAIL]" and by[3].text.endswith("[EMAIL]") and by[4].n_entities == 3000 and by[5].text == rows[6][1]
     assert sn.sanitise_documents(docs.limit(0)).count() == 0
+
+
+def test_a_fixed_signature_discloses(spark):
+    """The same phrase around a name in otherwise unlike documents; near copies are still no evidence."""
+    r = random.Random(5)
+    words = ["".join(r.choice("abcdefgh") for _ in range(5)) for _ in range(400)]
+    docs = [(i, " ".join(r.choice(words) for _ in range(40)) + (" regards jane quillmark jane@x.example.com" if i % 6 == 0 else "")) for i in range(300)]
+    copy = words[:60]
+    for i in range(20):
+        copy[i] = words[100 + i]
+        docs.append((1000 + i, " ".join([*copy, "onlyhere", "9.8.7.6"])))
+        copy[i] = words[i]
+    got = {x.term for x in sn.disclosing_terms(spark.createDataFrame(docs, DOCS)).collect()}
+    assert {"jane", "quillmark"} <= got and "onlyhere" not in got

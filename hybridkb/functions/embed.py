@@ -13,8 +13,7 @@ from pyspark.sql import functions as F
 import regex
 
 DIM, NGRAM = 256, 3
-#: The seed that stored vectors were hashed with.
-SEED = 7811896436410247283
+SEED = 20240601
 _RUN = regex.compile(r"[\p{Alphabetic}\p{N}]+")
 _M = (1 << 64) - 1
 

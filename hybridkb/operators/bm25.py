@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from hybridkb.functions.text import let
+
 K1, B = 1.2, 0.75
 MAX_TF = 65535
 
@@ -20,10 +22,16 @@ def doc_lengths(docs: DataFrame) -> DataFrame:
 
 
 def postings(docs: DataFrame) -> DataFrame:
-    """(term, doc_id, tf, doc_len) from (doc_id, terms). Each document is one row, so its counts are
-    taken within the task; the aggregation's partial step leaves nothing to move but the postings."""
-    rows = docs.select("doc_id", F.size("terms").cast("long").alias("doc_len"), F.explode("terms").alias("term"))
-    return rows.groupBy("term", "doc_id", "doc_len").agg(F.least(F.count(F.lit(1)), F.lit(MAX_TF)).alias("tf")).select("term", "doc_id", "tf", "doc_len")
+    """(term, doc_id, tf, doc_len) from (doc_id, terms), a row for each document. Its terms are sorted and
+    their runs counted within the row, so that nothing is shuffled."""
+
+    def runs(sorted_terms: Column) -> Column:
+        begins = F.filter(F.sequence(F.lit(0), F.size(sorted_terms) - 1), lambda i: (i == 0) | (F.get(sorted_terms, i) != F.get(sorted_terms, i - 1)))
+        return let(begins, lambda at: F.transform(at, lambda i, j: F.struct(F.get(sorted_terms, i).alias("term"), (F.coalesce(F.get(at, j + 1), F.size(sorted_terms)) - i).cast("long").alias("n"))))
+
+    some = docs.where(F.size("terms") > 0)
+    rows = some.select("doc_id", F.size("terms").cast("long").alias("doc_len"), F.inline(let(F.array_sort("terms"), runs)))
+    return rows.select("term", "doc_id", F.least("n", F.lit(MAX_TF)).alias("tf"), "doc_len")
 
 
 def term_stats(post: DataFrame) -> DataFrame:

@@ -6,10 +6,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from hybridkb.functions import vectors
+from hybridkb.session import materialise
 
 
 def _query(vector) -> F.Column:
@@ -26,19 +29,28 @@ def top_k(vecs: DataFrame, vector: list[float], k: int, metric: str = "cosine",
     return scored.orderBy(F.desc("score"), F.asc("doc_id")).limit(max(0, k))
 
 
-#: Queries that each task is given at once; more of them meet the vectors block by block.
-MAX_HELD, BLOCK = 20_000, 1024
+#: Queries in one matrix product.
+BLOCK = 1024
 
 
 def _best(names: np.ndarray, q: np.ndarray, ids: np.ndarray, v: np.ndarray, k: int, metric: str) -> pa.RecordBatch:
     """The k best of these vectors for each query, with all that tie with the last."""
-    s = q @ v.T
+    slack = 1e-12
     if metric == "l2":
-        s = 2 * s - (q * q).sum(1)[:, None] - (v * v).sum(1)[None, :]
+        middle = v.mean(0)  # far from the origin the products would cancel
+        q, v = q - middle, v - middle
+        own, norms = (q * q).sum(1), (v * v).sum(1)
+        s = 2 * (q @ v.T) - own[:, None] - norms[None, :]
+        slack = 64 * np.finfo(float).eps * (own[:, None] + norms.max(initial=0.0))
+    else:
+        s = q @ v.T
     top = min(k, len(ids))
     floor = -np.partition(-s, top - 1, axis=1)[:, top - 1]
-    x, y = np.nonzero(s >= floor[:, None] - 1e-12)
-    return pa.RecordBatch.from_arrays([pa.array(names[x]), pa.array(ids[y]), pa.array(s[x, y])], names=["query_id", "doc_id", "score"])
+    x, y = np.nonzero(s >= floor[:, None] - 2 * slack)
+    score = s[x, y]
+    if metric == "l2":
+        score = -np.square(q[x] - v[y]).sum(1)
+    return pa.RecordBatch.from_arrays([pa.array(names[x]), pa.array(ids[y]), pa.array(score)], names=["query_id", "doc_id", "score"])
 
 
 def _matrix(column: pa.Array, rows: int) -> np.ndarray:
@@ -61,9 +73,9 @@ def _packed(rows: DataFrame, id_col: str, vec_col: str) -> DataFrame:
 def batch_top_k(vecs: DataFrame, queries: DataFrame, k: int, metric: str = "cosine") -> DataFrame:
     """(query_id, doc_id, score, rank) for each of ``queries`` (query_id, vector).
 
-    Up to ``MAX_HELD`` queries go to each task; each Arrow batch of vectors is one matrix product and
-    leaves at most k rows a query (and ties), so that the shuffle never carries the products. More
-    queries are packed into blocks, and each block of queries meets each block of vectors in one product.
+    The queries are written once, packed in blocks; every task reads those blocks one after another
+    for each Arrow batch of its vectors, takes one matrix product a block and leaves at most k rows a
+    query (and ties), so that neither the driver nor the shuffle ever holds the products.
     Null ids, vectors with null or NaN members and those of another length than the queries' are left out.
     """
     empty = vecs.sparkSession.createDataFrame([], "query_id long, doc_id long, score double, rank long")
@@ -72,30 +84,22 @@ def batch_top_k(vecs: DataFrame, queries: DataFrame, k: int, metric: str = "cosi
         return empty
     rows = vecs.where(F.size("embedding") == sizes.dim).where("doc_id IS NOT NULL AND NOT exists(embedding, x -> x IS NULL OR isnan(x))").selectExpr("cast(doc_id as long) doc_id", "embedding")
     asked = queries.where(F.size("vector") == sizes.dim).select("query_id", "vector")
-    schema = "query_id long, doc_id long, score double"
-    if sizes.n <= MAX_HELD:
-        held = asked.collect()
-        names, matrix = np.array([r[0] for r in held], np.int64), np.array([r[1] for r in held], np.float64)
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                if batch.num_rows:
-                    ids, v = batch.column(0).to_numpy(zero_copy_only=False), _matrix(batch.column(1), batch.num_rows)
-                    for a in range(0, len(names), BLOCK):
-                        yield _best(names[a : a + BLOCK], matrix[a : a + BLOCK], ids, v, k, metric)
-
-        found = rows.mapInArrow(run, schema)
-    else:
+    blocks = materialise(_packed(asked, "query_id", "vector"), "query-blocks")._scratch_path
 
-        def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for i in range(batch.num_rows):
-                    names, ids = (np.array(batch.column(c)[i].as_py(), np.int64) for c in (0, 2))
-                    q, v = (batch.column(c)[i].values.to_numpy(zero_copy_only=False).reshape(n, -1) for c, n in ((1, len(names)), (3, len(ids))))
-                    yield _best(names, q, ids, v, k, metric)
-
-        left = _packed(asked, "query_id", "vector").toDF("q_ids", "q_flat")
-        found = left.crossJoin(_packed(rows, "doc_id", "embedding")).mapInArrow(meet, schema)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, root = fs.FileSystem.from_uri(blocks)
+        files = [f.path for f in system.get_file_info(fs.FileSelector(root)) if f.path.endswith(".parquet")]
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ids, v = batch.column(0).to_numpy(zero_copy_only=False), _matrix(batch.column(1), batch.num_rows)
+            for path in files:
+                for part in pq.ParquetFile(path, filesystem=system).iter_batches(batch_size=1):
+                    for names, flat in zip(part.column(0), part.column(1)):
+                        names = names.values.to_numpy(zero_copy_only=False)
+                        yield _best(names, flat.values.to_numpy(zero_copy_only=False).reshape(len(names), -1), ids, v, k, metric)
+
+    found = rows.mapInArrow(run, "query_id long, doc_id long, score double")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("doc_id"))
     return found.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
 

@@ -12,6 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from hybridkb.session import materialise
 
 
 def upsert(stored: DataFrame, batch: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -42,15 +43,25 @@ def upsert(stored: DataFrame, batch: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def numbered(rows: DataFrame, by: str, stored: DataFrame) -> DataFrame:
-    """``rows`` with ``doc_id`` counted on from the stored ones in the order of ``by``: range partitions,
-    their sizes, and a rank within each; no partition holds all rows."""
-    ranged = rows.repartitionByRange(F.col(by)).withColumn("_part", F.spark_partition_id())
-    ranged = ranged.withColumn("_place", F.row_number().over(Window.partitionBy("_part").orderBy(by)))
-    sizes = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
-    before = sizes.withColumn("_ahead", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_part", "_ahead")
+    """``rows`` with ``doc_id`` counted on from the stored ones in the order of ``by``.
+
+    Rows sorted over range partitions are written once, each with its partition and place there;
+    only the sizes of partitions are summed up, from those very files, so that no other plan of
+    the same sort can disagree with them and no partition holds all rows.
+    """
     start = stored.agg(F.coalesce(F.max("doc_id") + 1, F.lit(0)).cast("long").alias("_start"))
-    out = ranged.join(F.broadcast(before), "_part").crossJoin(F.broadcast(start))
-    return out.withColumn("doc_id", F.col("_start") + F.col("_ahead") + F.col("_place") - 1).drop("_part", "_place", "_ahead", "_start")
+    return in_order(rows, [by], "doc_id").crossJoin(F.broadcast(start)).withColumn("doc_id", F.col("doc_id") + F.col("_start")).drop("_start")
+
+
+def in_order(rows: DataFrame, by: list[str], name: str) -> DataFrame:
+    """``rows`` with a column ``name``: 0, 1, 2, … in the order of ``by``."""
+    placed = rows.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_at", F.monotonically_increasing_id())
+    placed = materialise(placed.withColumns({"_part": F.shiftright("_at", 33), "_place": F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))}).drop("_at"), "numbered")
+    sizes = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))  # a row for each partition
+    ahead = sizes.withColumn("_ahead", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_part", "_ahead")
+    out = placed.join(F.broadcast(ahead), "_part", "left")
+    place = F.when(F.col("_ahead").isNull(), F.raise_error("a partition without a size")).otherwise(F.col("_ahead") + F.col("_place"))
+    return out.withColumn(name, place.cast("long")).drop("_part", "_place", "_ahead")
 
 
 def remove(stored: DataFrame, keys: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from hybridkb.operators import refresh
 from hybridkb.plans.catalog import register
 from hybridkb.plans.common import epoch_ms
 from hybridkb.session import table
-from hybridkb.sources import fetch, tree
+from hybridkb.sources import crawl, fetch, tree
 
 
 def _pages(spark, sf_dir):
@@ -130,8 +130,8 @@ def entity_decode(spark, sf_dir):
 
 @register("retry_backoff", "SELECT event_id, CASE WHEN event_type = 'error' THEN least(event_id * 10, 30000) ELSE 250 * (1 << (event_id % 5)::INT) END::BIGINT AS wait_ms FROM events")
 def retry_backoff(spark, sf_dir):
-    doubled = F.lit(250) * F.pow(F.lit(2), F.col("event_id") % 5).cast("long")
-    return table(spark, sf_dir, "events").select("event_id", F.when(F.col("event_type") == "error", F.least(F.col("event_id") * 10, F.lit(30_000))).otherwise(doubled).cast("long").alias("wait_ms"))
+    asked = F.when(F.col("event_type") == "error", F.col("event_id") * 10)
+    return table(spark, sf_dir, "events").select("event_id", crawl.backoff_udf((F.col("event_id") % 5).cast("long"), asked.cast("long")).alias("wait_ms"))
 
 
 @register("retry_after_clamp", "SELECT event_id, least(greatest(coalesce(CASE WHEN user_id % 3 = 0 THEN user_id * 1000 END, CASE WHEN user_id % 3 = 1 THEN greatest(epoch_us(ts) // 1000 - 1704067200000, 0) END, 1000), 1000), 300000)::BIGINT AS wait_ms FROM events")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from hybridkb.operators import refresh, store
@@ -64,8 +65,12 @@ def url_dedup_upsert(spark, sf_dir):
 
     pages = table(spark, sf_dir, "pages").select("page_id", F.regexp_replace(F.regexp_replace("url", r"[?#].*$", ""), "/$", "").alias("url"))
     odd = pages.select("page_id", F.concat(F.upper(F.regexp_extract("url", "^[^:]+://[^/]*", 0)), F.regexp_extract("url", "^[^:]+://[^/]*(.*)$", 1), F.lit("/#again")).alias("url"))
-    rows = pages.unionByName(odd).select("page_id", urls.canonical_url(F.col("url")).alias("url"))
-    return rows.groupBy("url").agg(F.max("page_id").alias("page_id"), F.count(F.lit(1)).alias("spellings"))
+    rows = pages.unionByName(odd).select("page_id", urls.canonicalise_udf("url").alias("url"), urls.url_key_udf("url").alias("url_key"))
+    batch = rows.select("url", "url_key", F.col("page_id").alias("content_hash"), F.col("page_id").alias("ord"), F.lit(False).alias("pinned"), "page_id")
+    batch = batch.withColumn("ord", F.col("ord") * 2 + F.row_number().over(Window.partitionBy("url_key", "page_id").orderBy("url")) - 1)
+    stored = spark.createDataFrame([], "doc_id long, url_key long, url string, content_hash long, pinned boolean, page_id long")
+    docs, outcomes = store.upsert(stored, batch)
+    return docs.join(outcomes.groupBy("url_key").agg(F.count(F.lit(1)).alias("spellings")), "url_key").select("url", "page_id", "spellings")
 
 
 _TOXIC = "(SELECT doc_id FROM labels WHERE toxic = 1)"
@@ -147,11 +152,12 @@ def export_docs(spark, sf_dir):
 @register("edge_cap_64", "SELECT l_suppkey, count(*) AS edges FROM (SELECT l_suppkey, l_partkey, row_number() OVER (PARTITION BY l_suppkey ORDER BY min(l_orderkey * 10 + l_linenumber), l_partkey) AS r FROM lineitem GROUP BY l_suppkey, l_partkey) WHERE r <= 64 GROUP BY l_suppkey")
 def edge_cap_64(spark, sf_dir):
     """Distinct targets in order of first appearance, the first 64 of each source."""
-    from pyspark.sql import Window
+    from hybridkb.functions import distil
 
-    first = table(spark, sf_dir, "lineitem").groupBy("l_suppkey", "l_partkey").agg(F.min(F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("pos"))
-    ranked = first.withColumn("r", F.row_number().over(Window.partitionBy("l_suppkey").orderBy("pos", "l_partkey"))).where("r <= 64")
-    return ranked.groupBy("l_suppkey").agg(F.count(F.lit(1)).alias("edges"))
+    href = F.concat(F.lit("/part/"), F.col("l_partkey").cast("string"))
+    lines = table(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(F.array_sort(F.collect_list(F.struct("l_orderkey", "l_linenumber", href.alias("href")))).alias("x"))
+    pages = lines.select("l_suppkey", F.concat(F.lit("https://s"), F.col("l_suppkey").cast("string"), F.lit(".example.com/")).alias("url"), F.transform("x", lambda r: r["href"]).alias("links"))
+    return pages.join(distil.edges_of(pages), "url").select("l_suppkey", F.size("edges").cast("long").alias("edges"))
 
 
 def site(spark, sf_dir):

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, Window
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hybridkb.functions import html, kinds, markdown, urls
+from hybridkb.functions.udf import arrow_function
+from hybridkb.operators.store import in_order
 from hybridkb.session import materialise
 
 
@@ -32,6 +35,11 @@ def backoff_ms(attempt: int, retry_after_ms: int | None = None) -> int:
     return min(retry_after_ms, 30_000) if retry_after_ms is not None else 250 * 2**attempt
 
 
+@arrow_function("long")
+def backoff_udf(attempt: pd.Series, retry_after_ms: pd.Series) -> pd.Series:
+    return pd.Series([backoff_ms(int(a), None if pd.isna(r) else int(r)) for a, r in zip(attempt, retry_after_ms)], dtype="int64")
+
+
 def page_links(pages: DataFrame) -> DataFrame:
     """(url, pos, href) of pages (url, kind, body), by kind; kinds other than html and markdown have none."""
     web = pages.where("kind = 'html'").select("url", F.posexplode(html.links_udf("body")).alias("pos", "href"))
@@ -47,10 +55,12 @@ def link_table(site: DataFrame) -> DataFrame:
     return out.where(~urls.is_asset(F.col("dst")))
 
 
-def _budget(level: DataFrame, rest: int) -> DataFrame:
-    """The first ``rest`` successes in discovery order, and what lies before the last of them."""
-    ok = F.sum(F.col("ok").cast("int")).over(Window.orderBy("place"))
-    return level.withColumn("_n", ok).where(F.col("_n") - F.col("ok").cast("int") < rest).drop("_n")
+def _budget(level: DataFrame, rest: int, found: int) -> DataFrame:
+    """The first ``rest`` of ``found`` successes in discovery order, and what lies before the last of them."""
+    if found < rest:
+        return level
+    last = level.where("ok").select("place").orderBy("place").limit(rest).agg(F.max("place")).first()[0]
+    return level.where(F.col("place") <= last)
 
 
 def crawl(site: DataFrame, root: str, config: CrawlConfig = CrawlConfig(), validators: DataFrame | None = None, known_edges: DataFrame | None = None, robots: DataFrame | None = None) -> DataFrame:
@@ -93,12 +103,14 @@ def crawl(site: DataFrame, root: str, config: CrawlConfig = CrawlConfig(), valid
             barred = F.coalesce(F.exists("_no", lambda p: urls.url_path(F.col("url")).startswith(p)), F.lit(False))
             good = good & ~barred
         level = level.withColumns({"outcome": F.when(good & same, "revalidated").when(good, "fetched").otherwise("failed"), "ok": good & ~same})
-        level = materialise(_budget(level, left).select("url", "url_key", "place", "effective", "kind", "body", "outcome", "ok").withColumn("depth", F.lit(depth)), f"crawl-{depth}")
+        level = materialise(level.select("url", "url_key", "place", "effective", "kind", "body", "outcome", "ok").withColumn("depth", F.lit(depth)), f"crawl-{depth}")
+        good_pages = level.where("ok").count()
+        level = _budget(level, left, good_pages)
         if depth == 0 and level.where("outcome = 'failed'").count():
             raise RuntimeError(f"the root can't be fetched: {start}")
         shown = urls.extension_allowed(F.col("effective"), config.extensions) & urls.path_allowed(F.col("effective"), config.index_path)
         levels.append(level.select(F.col("effective").alias("url"), "url_key", "depth", "place", "outcome", (F.col("ok") & shown).alias("yielded")))
-        left -= level.where("ok").count()
+        left -= min(left, good_pages)
         if depth == config.max_depth or left <= 0:
             break
         now = level.select("url_key").union(level.select(urls.url_key_udf("effective")))
@@ -111,7 +123,7 @@ def crawl(site: DataFrame, root: str, config: CrawlConfig = CrawlConfig(), valid
         found = found.where(urls.in_scope(root_col, F.col("dst"), config.scope, config.allow) & urls.path_allowed(F.col("dst"), config.require_path))
         found = found.select(F.col("dst").alias("url"), urls.url_key_udf("dst").alias("url_key"), "_from", "pos")
         first = found.groupBy("url_key").agg(F.min(F.struct("_from", "pos", "url")).alias("f")).join(seen.distinct(), "url_key", "left_anti")
-        frontier = first.select("f.url", "url_key", "f._from", "f.pos").withColumn("place", F.row_number().over(Window.orderBy("_from", "pos", "url")).cast("long") - 1).select("url", "url_key", "place")
+        frontier = in_order(first.select("f.url", "url_key", "f._from", "f.pos"), ["_from", "pos", "url"], "place").select("url", "url_key", "place")
     out = levels[0]
     for x in levels[1:]:
         out = out.unionByName(x)

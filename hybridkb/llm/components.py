@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from hybridkb.session import materialise
+from hybridkb.session import discard, materialise
 
 
 class Unions:
@@ -52,4 +52,5 @@ def connected_components(edges: DataFrame) -> DataFrame:
         large = both.withColumn("m", F.least("u", F.min("v").over(Window.partitionBy("u")))).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         small = large.withColumn("m", F.min("v").over(Window.partitionBy("u")))
         small = small.select("u", F.col("m").alias("v")).union(small.where("v <> m").select("v", "m")).distinct()
-        now = materialise(small, "components")
+        now, old = materialise(small, "components"), now
+        discard(old)

@@ -47,7 +47,7 @@ def op9_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates.jaccard_pairs(table(spark, sf_dir, "documents"))
+    return near_duplicates.near_duplicate_classes(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -55,19 +55,69 @@ def brute(docs, g, n=3):
     return out
 
 
+def brute_pairs(docs, g):
+    """Pairs of different sets, each named by the least document that has it."""
+    least = {}
+    for i, t in docs:
+        if i is not None and t and (x := frozenset(grams(t))):
+            least[x] = min(i, least.get(x, i))
+    sets = sorted(((i, x) for x, i in least.items()), key=lambda v: v[0])
+    out = {}
+    for k, (i, a) in enumerate(sets):
+        for j, b in sets[k + 1 :]:
+            v = len(a & b) / len(a | b)
+            if i != j and v >= g - 1e-12:
+                out[i, j] = max(out.get((i, j), 0), round(v, 6))
+    return out
+
+
+def brute_classes(docs, g):
+    names = {}
+    own = {i: set() for i, _ in docs if i is not None}
+    for i, t in docs:
+        if i is not None and t and (x := frozenset(grams(t))):
+            own[i].add(names.setdefault(x, len(names)))
+    sets = list(names)
+    near = [{j for j, b in enumerate(sets) if j != k and len(a & b) / len(a | b) >= g - 1e-12} for k, a in enumerate(sets)]
+    u = Unions(len(sets))
+    edges = [(k, j) for k, js in enumerate(near) for j in js] + [(min(x), j) for x in own.values() for j in x]
+    u.join(np.array([e[0] for e in edges], int), np.array([e[1] for e in edges], int))
+    root = u.roots(np.arange(len(sets))).tolist()
+    least = {}
+    for i, x in own.items():
+        for k in x:
+            least[root[k]] = min(i, least.get(root[k], i))
+    return {i: (min((least[root[k]] for k in x), default=i), max((len(near[k]) for k in x), default=0)) for i, x in own.items()}
+
+
+def classes(df):
+    rows = df.collect()
+    assert df.columns == ["doc_id", "class_id", "n_links"]
+    out = {r.doc_id: (r.class_id, r.n_links) for r in rows}
+    assert len(out) == len(rows)
+    return out
+
+
 @pytest.mark.parametrize("g", [0.75, 0.9, 0.6])
 def test_all_pairs_are_found(spark, g):
     docs = corpus()
-    got = {(r.doc_a, r.doc_b): r.jaccard for r in nd.jaccard_pairs(spark.createDataFrame(docs, DOCS).repartition(5), threshold=g).collect()}
-    assert got == brute(docs, g)
+    frame = spark.createDataFrame(docs, DOCS).repartition(5)
+    got = {(r.doc_a, r.doc_b): r.jaccard for r in nd.representative_pairs(frame, threshold=g).collect()}
+    assert got == brute_pairs(docs, g) and len(got) > 20
+    assert classes(nd.near_duplicate_classes(frame, threshold=g)) == brute_classes(docs, g)
+
+
+def test_thresholds_without_the_guarantee_are_refused(spark):
+    with pytest.raises(ValueError):
+        nd.near_duplicate_classes(spark.createDataFrame(corpus()[:3], DOCS), threshold=0.3)
 
 
 def test_sql_agrees(spark):
-    docs = corpus(2)
+    docs = corpus(2) + [(3, "a further text of document three"), (500, "a further text of document three"), (501, None), (502, " ")]
     documents = pd.DataFrame(docs, columns=["doc_id", "text"])  # noqa: F841
     c = duckdb.connect()
     c.register("documents", documents)
-    assert {(a, b): round(j, 6) for a, b, j in c.execute(nd.oracle()).fetchall()} == brute(docs, nd.THRESHOLD)
+    assert {i: (k, n) for i, k, n in c.execute(nd.oracle()).fetchall()} == brute_classes(docs, nd.THRESHOLD)
 
 
 def test_similar_sets_share_a_signature():
@@ -87,11 +137,15 @@ def test_similar_sets_share_a_signature():
             assert sides[0] & sides[1], size
 
 
-def test_blocks_of_a_large_group(spark, monkeypatch):
-    monkeypatch.setattr(nd, "BLOCK", 4)
-    docs = [(i, "one two three four five six seven eight nine ten eleven " + ("x " * (i % 2))) for i in range(11)]
-    got = {(r.doc_a, r.doc_b): r.jaccard for r in nd.jaccard_pairs(spark.createDataFrame(docs, DOCS)).collect()}
-    assert got == brute(docs, nd.THRESHOLD) and len(got) == 55
+def test_blocks_of_a_large_group(spark):
+    """Tiles of a component of 60 different sets in blocks of 4 or so, copies among them."""
+    base = [f"w{i}" for i in range(60)]
+    docs = [(i, " ".join(base[:i] + [f"x{i}"] + base[i + 1 :]) if i % 5 else " ".join(base)) for i in range(60)]
+    frame = spark.createDataFrame(docs, DOCS)
+    got = {(r.doc_a, r.doc_b): r.jaccard for r in nd.representative_pairs(frame, block=4).collect()}
+    want = brute_pairs(docs, nd.THRESHOLD)
+    assert got == want and len(got) > 900
+    assert classes(nd.near_duplicate_classes(frame, block=4)) == brute_classes(docs, nd.THRESHOLD)
 
 
 def test_components(spark):
@@ -122,8 +176,9 @@ def test_odd_rows(spark):
     rows = [(1, None), (2, ""), (3, "   \n"), (None, "a b c d"), (4, "a b c d"), (4, "a b c d"), (5, "a b c d"), (6, long), (7, long + " x"), (8, "a"), (9, "a"), (10, ""), (4, "other text here now")]
     docs = spark.createDataFrame(rows, DOCS)
     clash = docs.withColumns({"component": F.lit(1), "node": F.lit(2), "block": F.lit(3), "jaccard": F.lit(4.0)})
-    got = {(r.doc_a, r.doc_b): r.jaccard for r in nd.jaccard_pairs(clash).collect()}
-    assert got == brute(rows, nd.THRESHOLD) and set(got) == {(4, 5), (6, 7), (8, 9)}
-    assert nd.jaccard_pairs(docs.limit(0)).count() == 0 and nd.keep_one_of_each(docs.limit(0)).count() == 0
+    got = classes(nd.near_duplicate_classes(clash))
+    assert got == brute_classes(rows, nd.THRESHOLD)
+    assert got[5] == (4, 0) and got[7] == (6, 1) and got[9] == (8, 0) and got[1] == (1, 0)
+    assert nd.near_duplicate_classes(docs.limit(0)).count() == 0 and nd.keep_one_of_each(docs.limit(0)).count() == 0
     kept = sorted(((r.doc_id, r.text and r.text[:5]) for r in nd.keep_one_of_each(docs).collect()), key=str)
     assert kept == sorted([(1, None), (2, ""), (3, "   \n"), (None, "a b c"), (4, "a b c"), (4, "other"), (6, "w0 w1"), (8, "a"), (10, "")], key=str)

@@ -34,7 +34,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def sanitise_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Protected entities and disclosing terms generalised; ``n_chars`` follows the text."""
     at = f"_o{_position(docs, 'text')}"
-    out = _numbered(docs).withColumn(at, sanitise.clean_column(docs, text=at))
+    out = sanitise.sanitise_rows(_numbered(docs).withColumn(at, F.col(at).cast("string")), at)
     if "n_chars" in docs.columns:
         count = f"_o{docs.columns.index('n_chars')}"
         out = out.withColumn(count, F.coalesce(F.length(at).cast("long"), F.col(count)))

@@ -18,13 +18,14 @@ from __future__ import annotations
 import base64
 import heapq
 import unicodedata
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from hybridkb.llm.memory import held, lean
+from hybridkb.llm.memory import held, lean, small_batches
 from hybridkb.session import pick
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -365,13 +366,14 @@ def text_runs(column: pa.Array, run_bytes: int = RUN_BYTES) -> Iterator[tuple[in
 
 def worker_encoder(shared) -> Encoder:
     """One encoder for each Python worker and broadcast vocabulary."""
-    key = ("bpe", str(shared.value.__dict__.get("name", id(shared.value))))
+    key = ("bpe", shared.value.name)
     return held(key, lambda: Encoder(shared.value))
 
 
 def share(spark, path: str):
+    small_batches(spark)
     v = Vocabulary(path)
-    v.name = path
+    v.name = f"{path}-{uuid.uuid4().hex}"  # a worker keeps an encoder by this name, and a path may be written anew
     return spark.sparkContext.broadcast(v)
 
 

@@ -23,7 +23,8 @@ from hybridkb.session import pick
 BLOCK = frozenset(
     "address article aside blockquote body br caption center dd details dialog div dl dt fieldset figcaption figure footer form frame h1 h2 h3 h4 h5 h6 head header hr html iframe li link main menu meta nav noscript ol option p pre script section select style summary table tbody td template textarea tfoot th thead title tr ul video".split()
 )
-SILENT = frozenset(("script", "style", "template", "noscript"))
+CODE = frozenset(("script", "style"))
+HIDDEN = frozenset(("template", "noscript"))
 
 
 class LineEvents(HTMLParser):
@@ -38,7 +39,9 @@ class LineEvents(HTMLParser):
         self.lines: list[tuple[str, int]] = []
         self.words: list[str] = []
         self.tags = 0
-        self.hush = 0
+        self.code = 0
+        self.hidden = 0
+        self.mark = 0
 
     def _end_line(self) -> None:
         text = " ".join(" ".join(self.words).split())
@@ -50,8 +53,12 @@ class LineEvents(HTMLParser):
         if tag in BLOCK:
             self._end_line()
         self.tags += 1
-        if tag in SILENT:
-            self.hush += 1
+        if tag in CODE:
+            self.code += 1
+        elif tag in HIDDEN:
+            self.hidden += 1
+            if self.hidden == 1:
+                self.mark = len(self.lines)
 
     def handle_startendtag(self, tag, attrs):
         if tag in BLOCK:
@@ -60,13 +67,19 @@ class LineEvents(HTMLParser):
 
     def handle_endtag(self, tag):
         self.tags += 1
-        if tag in SILENT and self.hush:
-            self.hush -= 1
+        if tag in CODE and self.code:
+            self.code -= 1
         if tag in BLOCK:
             self._end_line()
+        if tag in HIDDEN and self.hidden:
+            self.hidden -= 1
+            if not self.hidden:  # only what a closing tag ends is known to be hidden
+                self.lines[self.mark :] = [("", k) for _, k in self.lines[self.mark :] if k]
+        elif tag in ("body", "html"):
+            self.hidden = 0
 
     def handle_data(self, data):
-        if self.hush:
+        if self.code:
             return
         first, *rest = data.split("\n")
         self.words.append(first)
@@ -119,7 +132,9 @@ def extract_pages(pages: DataFrame, sigma: float = 1.0, weight: float = 1.0) ->
     """(page_id, url, content, n_kept, n_lines), one row for each row of ``pages``.
 
     Null or empty html gives an empty content and zero lines; null ids and URLs stay null. Pages
-    whose lines all have the same smoothed ratio keep every line. Repeated pages keep their rows.
+    whose lines all have the same smoothed ratio keep every line. Text after a template or noscript
+    that nothing closes counts; a script that nothing closes reaches the page's end. Pages of any length are read whole.
+    Repeated pages keep their rows; an empty table gives none; further columns are ignored.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

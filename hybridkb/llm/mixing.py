@@ -46,8 +46,12 @@ def _key(seed: int) -> Column:
 
 
 def _pattern(member_cols: tuple[str, ...]) -> Column:
-    parts = [F.concat(F.lit(f"{c}="), F.coalesce(F.col(c).cast("string"), F.lit("\x00null"))) for c in member_cols]
-    return F.concat_ws("\x1f", *parts)
+    """The sources of a row, parted by a character that is escaped within their names."""
+
+    def name(c: str) -> Column:
+        return F.replace(F.replace(F.col(c).cast("string"), F.lit("\x1e"), F.lit("\x1e0")), F.lit("\x1f"), F.lit("\x1e1"))
+
+    return F.concat_ws("\x1f", *[F.concat(F.lit(f"{c}="), F.coalesce(name(c), F.lit("\x00null"))) for c in member_cols])
 
 
 def targets_from_shares(tokens: dict[str, int], power: float) -> dict[str, float]:
@@ -84,6 +88,7 @@ def mixing_plan(
         return spark.createDataFrame([], PLAN)
     order = sorted(sizes)
     members = [tuple(p.split("\x1f")) for p in order]
+    weights = {k.replace("\x1e", "\x1e0").replace("\x1f", "\x1e1"): v for k, v in weights.items()} if weights else weights
     held: dict[str, int] = {}
     for p, m in zip(order, members):
         for s in m:
@@ -146,7 +151,8 @@ def apply_plan(docs: DataFrame, plan: DataFrame, member_cols: tuple[str, ...] =
     taken = base.join(rows, (F.col("_pattern") == F.col("pattern")) & (F.col("_key") >= F.col("lo")) & (F.col("_key") < F.col("hi")))
     if keep_columns:
         return taken.select(*[F.col(f"_o{i}").alias(c) for i, c in enumerate(docs.columns)])
-    return taken.select("doc_id", F.regexp_replace("target", "\x00null$", "(null)").alias("target"), "epoch", F.col("_tokens").alias("n_tokens"))
+    shown = F.replace(F.replace(F.regexp_replace("target", "\x00null$", "(null)"), F.lit("\x1e1"), F.lit("\x1f")), F.lit("\x1e0"), F.lit("\x1e"))
+    return taken.select("doc_id", shown.alias("target"), "epoch", F.col("_tokens").alias("n_tokens"))
 
 
 def mix_sources(docs: DataFrame, keep_columns: bool = False, **params) -> DataFrame:

@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from hybridkb.llm.bpe import text_runs
 from hybridkb.llm.components import Unions, connected_components
-from hybridkb.llm.memory import lean
+from hybridkb.llm.memory import lean, small_batches
 from hybridkb.session import discard, materialise, pick, scratch
 
 NGRAM, THRESHOLD = 3, 0.75
@@ -287,6 +287,7 @@ def _sized(side: DataFrame) -> DataFrame:
 def candidate_links(docs: DataFrame, n: int, threshold: float) -> DataFrame:
     """(a, b) links of which the components hold every pair at or over the threshold."""
     spark, rows = docs.sparkSession, _rows(docs)
+    small_batches(spark)
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(LEAST_PARTS, math.ceil(size / PART_TEXT))
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(parts / 8))

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hybridkb.llm.memory import lean
+from hybridkb.llm.memory import lean, small_batches
 from hybridkb.session import discard, materialise, pick
 
 ALPHA = 0.9
@@ -263,6 +263,7 @@ FOUND = "term string, kind string, disclosure double, general string"
 def disclosing_terms(docs: DataFrame, alpha: float = ALPHA, min_contexts: float = MIN_CONTEXTS, min_values: int = MIN_VALUES) -> DataFrame:
     """(term, kind, disclosure, general): terms at or over the threshold, the kind that they disclose most,
     and the generalisation to use ('' where the term must go)."""
+    small_batches(docs.sparkSession)
     texts = pick(docs, "text").selectExpr("cast(text as string) text").where("text IS NOT NULL")
     frequencies = materialise(term_frequencies(texts), "term-frequencies")
     total = frequencies.where("term = ''").select(F.col("df").alias("N"))

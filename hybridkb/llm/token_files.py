@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from hybridkb.llm.bpe import VOCABULARY, share, text_runs, worker_encoder
-from hybridkb.session import materialise, pick, shared_dir
+from hybridkb.session import materialise, pick, scratch
 
 BLOCK_BYTES = 4 << 20
 FILES = "file string, size long"
@@ -108,13 +108,15 @@ def count_tokens(files: DataFrame, separator: int, width: int = 2, block_bytes:
 
 
 def write_token_files(docs: DataFrame, vocabulary: str = VOCABULARY, separator: int = 50256) -> DataFrame:
-    """Encode documents into flat files in the shared folder, one for each task: (file, size,
-    doc_ids in the order written). A task that runs again writes a file of another name, and only
+    """Encode documents into flat files in the shared folder, one for each task: (file, size, bytes of an
+    id, doc_ids in the order written). A task that runs again writes a file of another name, and only
     the files of the rows returned count. Null and empty texts are empty documents."""
     spark = docs.sparkSession
-    shared, root = share(spark, vocabulary), f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
-    top = max(separator, len(shared.value.size) - 1)
-    dtype = np.dtype("<u2" if top < 1 << 16 else "<u4")
+    shared, root = share(spark, vocabulary), scratch(spark, "tokens")
+    if separator < 0 or separator < len(shared.value.size) and shared.value.size[separator]:
+        raise ValueError(f"{separator} is a token of the vocabulary and can't part documents")
+    width = 2 if max(separator, len(shared.value.size) - 1) < 1 << 16 else 4
+    dtype = np.dtype(f"<u{width}")
     system, path = _open(root)
     system.create_dir(path, recursive=True)
 
@@ -133,9 +135,9 @@ def write_token_files(docs: DataFrame, vocabulary: str = VOCABULARY, separator:
                     order.append(batch.column(0)[a:b].cast(pa.int64()))
         if order:
             ids = pa.concat_arrays(order)
-            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([size], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids)], names=["file", "size", "doc_ids"])
+            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([size], pa.int64()), pa.array([width], pa.int32()), pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids)], names=["file", "size", "width", "doc_ids"])
 
-    return pick(docs, "doc_id", "text").selectExpr("doc_id", "cast(text as string) text").mapInArrow(run, "file string, size long, doc_ids array<long>")
+    return pick(docs, "doc_id", "text").selectExpr("doc_id", "cast(text as string) text").mapInArrow(run, "file string, size long, width int, doc_ids array<long>")
 
 
 def document_token_counts(docs: DataFrame, vocabulary: str = VOCABULARY, separator: int = 50256, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -144,8 +146,8 @@ def document_token_counts(docs: DataFrame, vocabulary: str = VOCABULARY, separat
     Null and empty texts have 0 tokens; repeated rows and null ids keep their rows; an empty table
     gives none; further columns are ignored.
     """
-    width = 2 if separator < 1 << 16 else 4
     written = materialise(write_token_files(docs, vocabulary, separator), "token-files")
+    width = written.agg(F.max("width")).first()[0] or 2
     counts = count_tokens(written, separator, width, block_bytes)
     order = written.select(F.col("file").alias("_file"), F.posexplode("doc_ids").alias("_at", "doc_id"))
     return counts.join(order, (F.col("file") == F.col("_file")) & (F.col("ordinal") == F.col("_at"))).select("doc_id", F.col("n_tokens").cast("long").alias("n_tokens"))

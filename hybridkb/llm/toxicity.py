@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import math
 import re
+import uuid
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
@@ -30,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hybridkb.llm.memory import held, lean, steady, tidy
+from hybridkb.llm.memory import held, lean, small_batches, steady, tidy
 from hybridkb.session import materialise, pick
 
 #: Labelled rows used for fitting, at most; chosen by a seeded hash.
@@ -410,6 +411,7 @@ def learn_lexicon(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LA
     the entry is commonest.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     marked = pick(labels, "doc_id", "toxic").where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     sample = marked.orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").limit(max_labelled)
     sample = spark.createDataFrame(sample.toPandas(), marked.schema)  # bounded by max_labelled
@@ -489,12 +491,12 @@ def toxicity_column(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_
     lexicon = learn_lexicon(docs, labels, max_labelled)
     whole = [w for w in sorted(lexicon) if not w.endswith("*")]
     model = language_model(count_characters(docs), whole)
-    shared = docs.sparkSession.sparkContext.broadcast((lexicon, model))
+    shared, name = docs.sparkSession.sparkContext.broadcast((lexicon, model)), uuid.uuid4().hex
 
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         steady()
-        scorer = held(("toxicity", id(shared.value)), lambda: Scorer(*shared.value))
+        scorer = held(("toxicity", name), lambda: Scorer(*shared.value))
         for s in batches:
             yield pd.Series([scorer.score(t) for t in s], dtype="float64")
         s = None

@@ -6,8 +6,9 @@ registered domain. At each step the prior's strength comes from the spread betwe
 binomial noise (moment estimate of the intraclass correlation). A page is dropped where the lower
 posterior bound of its host's bad rate exceeds a threshold.
 
-Scale: pages are read for (page_id, url) alone; all statistics are per-host rows. No SQL step needs
-Python.
+Scale: pages are read for (page_id, url) alone, and one row a host is written before anything is
+estimated from it; domains and suffixes are sums of those rows, and each step's strength is one number.
+No step needs Python.
 """
 
 from __future__ import annotations
@@ -15,10 +16,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hybridkb.session import pick
+from hybridkb.session import materialise, pick
 
-#: Suffixes of more than one label; any other suffix is the last label.
-LONG_SUFFIXES = ("example.com", "example.net", "example.org", "co.uk", "org.uk", "ac.uk", "com.au", "co.jp", "com.br")
+#: Suffixes of more than one label under which the public registers; any other suffix is the last label.
+#: ``read_suffixes`` reads a full list.
+LONG_SUFFIXES = ("co.uk", "org.uk", "ac.uk", "gov.uk", "com.au", "net.au", "org.au", "co.jp", "ne.jp", "or.jp", "com.br", "com.cn", "co.in", "co.kr", "co.nz", "co.za", "com.mx", "com.tr")
 THRESHOLD, Z = 0.2, 1.645
 #: Bad rate expected without any label, worth one label.
 PRIOR_RATE = 0.1
@@ -32,9 +34,17 @@ def host_of(url: Column) -> Column:
     return F.when(host != "", host)
 
 
+def read_suffixes(path: str) -> tuple[str, ...]:
+    """Suffixes of a file in the public suffix format: one rule a line, // before comments, * for any
+    label. Rules of one label and exceptions (!) are left out, as the last label is a suffix anyway."""
+    with open(path, encoding="utf-8") as f:
+        rules = [x.split()[0].lower() for x in f if x.strip() and not x.startswith("//")]
+    return tuple(r for r in rules if "." in r and not r.startswith("!"))
+
+
 def suffix_pattern(suffixes: tuple[str, ...] = LONG_SUFFIXES) -> str:
     """The first place from which a known suffix, or else the last label, reaches the end."""
-    known = "|".join(x.replace(".", r"\.") for x in suffixes)
+    known = "|".join(x.replace(".", r"\.").replace("*", "[^.]+") for x in suffixes)
     return rf"(?:^|\.)({known + '|' if known else ''}[^.]+)$"
 
 
@@ -49,18 +59,14 @@ def domain_of(host: Column, suffix: Column) -> Column:
     return F.when(label == "", host).otherwise(F.concat(label, F.lit("."), suffix))
 
 
-def _shrink(level: DataFrame, key: str) -> DataFrame:
+def _shrink(level: DataFrame) -> DataFrame:
     """Adds the posterior (a, b) of rows with n, k and the parent's mean ``mu``."""
     v = F.col("mu") * (1 - F.col("mu"))
-    seen = level.where("n > 0")
-    sums = seen.agg(
-        F.sum(F.col("n") * (F.col("k") / F.col("n") - F.col("mu")) * (F.col("k") / F.col("n") - F.col("mu"))).alias("spread"),
-        F.sum(v).alias("noise"),
-        F.sum(v * (F.col("n") - 1)).alias("room"),
-    )
+    off = F.col("k") / F.col("n") - F.col("mu")
+    sums = level.where("n > 0").agg(F.sum(F.col("n") * off * off).alias("spread"), F.sum(v).alias("noise"), F.sum(v * (F.col("n") - 1)).alias("room"))
     rho = F.when(F.col("room") > 0, F.greatest(F.lit(0.001), F.least(F.lit(0.99), (F.col("spread") - F.col("noise")) / F.col("room")))).otherwise(F.lit(0.001))
-    strength = sums.select((1 / rho - 1).alias("m"))
-    return level.crossJoin(F.broadcast(strength)).withColumns({"a": F.col("mu") * F.col("m") + F.col("k"), "b": (1 - F.col("mu")) * F.col("m") + F.col("n") - F.col("k")}).drop("m", "mu")
+    m = F.lit(sums.select((1 / rho - 1).alias("m")).first().m)
+    return level.withColumns({"a": F.col("mu") * m + F.col("k"), "b": (1 - F.col("mu")) * m + F.col("n") - F.col("k")}).drop("mu")
 
 
 def host_reputation(pages: DataFrame, labels: DataFrame, suffixes: tuple[str, ...] = LONG_SUFFIXES) -> DataFrame:
@@ -70,12 +76,14 @@ def host_reputation(pages: DataFrame, labels: DataFrame, suffixes: tuple[str, ..
     outcome = pick(labels, "doc_id", "quality", "toxic").select("doc_id", bad.alias("bad")).where("doc_id IS NOT NULL AND bad IS NOT NULL").groupBy("doc_id").agg(F.max("bad").alias("bad"))
     counts = hosted.join(outcome, F.col("page_id") == F.col("doc_id"), "left").groupBy("host").agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("k"))
     hosts = counts.withColumn("suffix", suffix_of(F.col("host"), suffixes)).withColumn("domain", domain_of(F.col("host"), F.col("suffix")))
-    domains = hosts.groupBy("suffix", "domain").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
+    hosts = materialise(hosts, "hosts")
+    domains = materialise(hosts.groupBy("suffix", "domain").agg(F.sum("n").alias("n"), F.sum("k").alias("k")), "domains")
     tops = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
-    whole = tops.agg(((F.coalesce(F.sum("k"), F.lit(0)) + PRIOR_RATE) / (F.coalesce(F.sum("n"), F.lit(0)) + 1.0)).alias("mu"))
-    tops = _shrink(tops.crossJoin(F.broadcast(whole)), "suffix").select("suffix", (F.col("a") / (F.col("a") + F.col("b"))).alias("mu"))
-    domains = _shrink(domains.join(tops, "suffix"), "domain").select("domain", (F.col("a") / (F.col("a") + F.col("b"))).alias("mu"))
-    return _shrink(hosts.join(domains, "domain"), "host")
+    whole = domains.agg(((F.coalesce(F.sum("k"), F.lit(0)) + PRIOR_RATE) / (F.coalesce(F.sum("n"), F.lit(0)) + 1.0)).alias("mu")).first().mu
+    mean = (F.col("a") / (F.col("a") + F.col("b"))).alias("mu")
+    tops = materialise(_shrink(tops.withColumn("mu", F.lit(whole))).select("suffix", mean), "suffix-rates")
+    domains = materialise(_shrink(domains.join(tops, "suffix")).select("domain", mean), "domain-rates")
+    return materialise(_shrink(hosts.join(domains, "domain")), "host-rates")
 
 
 def filter_urls(pages: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, z: float = Z, suffixes: tuple[str, ...] = LONG_SUFFIXES) -> DataFrame:
@@ -85,7 +93,8 @@ def filter_urls(pages: DataFrame, labels: DataFrame, threshold: float = THRESHOL
     Repeated labels of one page count once, the worst of them; labels with neither outcome count
     not at all. A page is kept unless the lower bound ``mean - z * deviation`` of its host's bad
     rate exceeds ``threshold``. Pages whose URL is null or has no host have null statistics and
-    are kept. Repeated pages keep their rows. Empty pages give no rows; without labels all is kept.
+    are kept. Repeated pages keep their rows. Empty pages give no rows; without labels all is kept. URLs
+    of any length are read; further columns are ignored.
     """
     rep = host_reputation(pages, labels, suffixes)
     a, b = F.col("a"), F.col("b")

@@ -1,3 +1,6 @@
+import math
+import random
+import re
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -43,3 +46,43 @@ def test_odd_rows(spark):
     by = {r.page_id: r for r in got}
     assert by[1].content == "" and by[1].n_lines == 0 and by[4].content == "plain" and len(by[6].content) == 1999999
     assert extract_pages(pages.limit(0)).count() == 0
+
+
+def naive(html, sigma=1.0, weight=1.0):
+    """Brute force for markup of plain block tags: a line for each, ratios smoothed one by one."""
+    lines = []
+    for piece in re.split(r"(?=<p>|<div>|<li>)|(?<=</p>)|(?<=</div>)|(?<=</li>)|\n", html):
+        text, tags = " ".join(re.sub(r"<[^>]*>", "", piece).split()), len(re.findall(r"<[^>]*>", piece))
+        if text or tags:
+            lines.append((text, tags))
+    ratio = [len(t) / max(1, k) for t, k in lines]
+    smooth = []
+    for i in range(len(ratio)):
+        near = [(math.exp(-0.5 * ((i - j) / sigma) ** 2), r) for j, r in enumerate(ratio) if abs(i - j) <= max(1, math.ceil(3 * sigma))]
+        smooth.append(sum(w * r for w, r in near) / sum(w for w, _ in near))
+    mean = sum(smooth) / len(smooth)
+    edge = weight * math.sqrt(sum((x - mean) ** 2 for x in smooth) / len(smooth))
+    return [t for (t, _), x in zip(lines, smooth) if t and x > edge]
+
+
+def test_pages_against_brute_force(spark):
+    r = random.Random(12)
+    pages = []
+    for i in range(60):
+        parts = []
+        for _ in range(r.randrange(1, 30)):
+            tag, words = r.choice(["p", "div", "li"]), " ".join(r.choice(["one", "twelve", "of", "it"]) for _ in range(r.choice([0, 1, 2, 30, 80])))
+            parts.append(f"<{tag}>" + (f"<a href='x'><b>{words}</b></a>" if r.random() < 0.4 else words) + f"</{tag}>" + r.choice(["", "\n"]))
+        pages.append((i, f"https://h/{i}", "".join(parts)))
+    got = {x.page_id: x.content for x in extract_pages(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert got == {i: "\n".join(naive(h)) for i, _, h in pages}
+
+
+def test_tags_that_nothing_closes():
+    after = "<p>later text of the page, which is long enough to be content of it</p>" * 3
+    for tag in ("noscript", "template"):
+        assert "later text" in extract_content(f"<body><p>a</p><{tag}>x" + after + "</body>")[0]
+        assert "later text" in extract_content(f"<body><{tag}><p>x</body>" + after)[0]
+        closed = extract_content(f"<body><{tag}><p>hidden words that nobody reads at all</p></{tag}>" + after + "</body>")[0]
+        assert "hidden" not in closed and "later text" in closed
+    assert "later" not in extract_content("<p>a</p><script>x" + after)[0]

@@ -115,3 +115,9 @@ def test_nulls_blanks_repeats_empty_and_clashing_columns(spark):
     assert sorted(map(str, mix_sources(clash).collect())) == sorted(map(str, got))
     kept = mix_sources(clash, keep_columns=True)
     assert kept.columns == clash.columns and kept.count() == len(got)
+
+
+def test_source_names_hold_any_character(spark):
+    rows = [(i, "a b c d", "en", s, 7) for i, s in enumerate(["x\x1fy", "x", "y", "x\x1ey", "x\x1e1y", None] * 20)]
+    got = {r.target for r in mix_sources(spark.createDataFrame(rows, DOCS)).collect()}
+    assert got == {"lang=en", "source=x\x1fy", "source=x", "source=y", "source=x\x1ey", "source=x\x1e1y", "source=(null)"}

@@ -43,3 +43,19 @@ def test_documents(spark):
         got = sorted(map(tuple, document_token_counts(docs, block_bytes=block).collect()), key=str)
         assert got == sorted([(i, size(t)) for i, t in rows], key=str)
     assert document_token_counts(docs.limit(0)).count() == 0
+
+
+def test_wide_vocabularies_and_clashing_names(spark, tmp_path):
+    """Over 65,536 tokens ids take four bytes, whatever the separator; a separator that is a token is refused."""
+    import base64
+
+    from pyspark.sql import functions as F
+
+    path = tmp_path / "wide.tiktoken"
+    tokens = [bytes([b]) for b in range(256)] + [b"\xff" + i.to_bytes(3, "big") for i in range(70_000)]
+    path.write_bytes(b"\n".join(base64.b64encode(t) + b" " + str(i + (i >= 300)).encode() for i, t in enumerate(tokens)))
+    docs = spark.createDataFrame([(1, "abc"), (2, ""), (3, None), (4, "defgh")], "doc_id long, text string").withColumns({"file": F.lit("x"), "size": F.lit(1), "width": F.lit(9), "ordinal": F.lit(0), "doc_ids": F.lit("y")})
+    got = sorted(map(tuple, document_token_counts(docs, str(path), 300).collect()))
+    assert got == [(1, 3), (2, 0), (3, 0), (4, 5)]
+    with pytest.raises(ValueError):
+        document_token_counts(docs, str(path), 97)

@@ -2,7 +2,7 @@ import duckdb
 import pandas as pd
 from pyspark.sql import functions as F
 
-from hybridkb.llm.url_reputation import domain_of, filter_urls, host_of, oracle, suffix_of
+from hybridkb.llm.url_reputation import domain_of, filter_urls, host_of, oracle, read_suffixes, suffix_of
 
 PAGES, LABELS = "page_id long, url string, html string", "doc_id long, quality int, toxic int"
 
@@ -51,3 +51,15 @@ def test_empty_and_clashing(spark):
     assert filter_urls(pages, labels.limit(0)).where("NOT keep").count() == 0
     clash = pages.withColumns({"host": F.lit("z"), "n": F.lit(1), "mu": F.lit(0.5), "keep": F.lit(False)})
     assert sorted(map(str, filter_urls(clash, labels).collect())) == sorted(map(str, filter_urls(pages, labels).collect()))
+
+
+def test_a_suffix_file_and_long_urls(spark, tmp_path):
+    (tmp_path / "suffixes.dat").write_text("// comment\ncom\nco.uk\n*.ck\n!www.ck\nblog.host.com\n")
+    rules = read_suffixes(str(tmp_path / "suffixes.dat"))
+    assert rules == ("co.uk", "*.ck", "blog.host.com")
+    for host, suffix in [("a.b.co.uk", "co.uk"), ("x.y.z.ck", "z.ck"), ("me.blog.host.com", "blog.host.com"), ("host.com", "com")]:
+        assert spark.range(1).select(suffix_of(F.lit(host), rules).alias("s")).first().s == suffix
+    p, la = data()
+    long = [(5000, "https://bad.example.net/" + "x/" * 200_000, None)]
+    got = {r.page_id: r for r in filter_urls(spark.createDataFrame(p + long, PAGES), spark.createDataFrame(la, LABELS), suffixes=rules).collect()}
+    assert got[5000].host == "bad.example.net" and not got[5000].keep

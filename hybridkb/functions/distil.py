@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,11 +17,29 @@ def file_name(path: Column) -> Column:
     return F.get(F.reverse(F.filter(F.split(path, "/"), lambda s: s != "")), F.lit(0))
 
 
-def facts(df: DataFrame) -> DataFrame:
+class Extractor:
+    """What a further kind of resource is read by: ``kinds`` that it handles, and ``extract``, which adds to
+    rows (url, kind, body binary, …) the column ``facts`` (title, lang, headings, levels, body, links)."""
+
+    kinds: frozenset[str] = frozenset()
+
+    def extract(self, df: DataFrame) -> DataFrame:
+        raise TypeError(f"{type(self).__name__} has no extract()")
+
+
+def facts(df: DataFrame, extractors: Sequence[Extractor] = ()) -> DataFrame:
     """(url, kind, body binary, …) with ``facts``: title, lang, headings, levels, body, links by kind.
 
     Each kind is read by its own branch, so that a page goes through one Python function at most and
-    code and plain text through none."""
+    code and plain text through none. ``extractors`` come first, the earlier before the later."""
+    done, taken = [], set()
+    for x in extractors:
+        own = sorted(set(x.kinds) - taken)
+        if own:
+            done.append(x.extract(df.where(F.col("kind").isin(own))).withColumn("facts", F.col("facts").cast(_FACTS)))
+            taken |= set(own)
+    if taken:
+        df = df.where(F.col("kind").isNull() | ~F.col("kind").isin(sorted(taken)))
     body = F.coalesce(F.decode(F.col("body"), "UTF-8"), F.lit(""))
     none = F.array().cast("array<string>")
     web = df.where("kind = 'html'").withColumn("_f", html.page_facts_udf("body")).withColumn("_l", html.links_udf("body"))
@@ -28,13 +48,17 @@ def facts(df: DataFrame) -> DataFrame:
     rest = df.where("kind IS NULL OR kind NOT IN ('html', 'markdown')")
     title = F.when(F.col("kind") == "code", file_name(urls.url_path(F.col("url")))).otherwise(text.plain_title(body))
     plain = rest.withColumn("facts", F.struct(title.alias("title"), F.lit(None).cast("string").alias("lang"), none.alias("headings"), F.array().cast("array<int>").alias("levels"), body.alias("body"), none.alias("links")).cast(_FACTS))
-    return web.unionByName(mark).unionByName(plain)
+    for x in (web, mark):
+        plain = plain.unionByName(x)
+    for x in done:
+        plain = plain.unionByName(x)
+    return plain
 
 
-def distil(df: DataFrame) -> DataFrame:
+def distil(df: DataFrame, extractors: Sequence[Extractor] = ()) -> DataFrame:
     """``df`` (url, kind, body) with title, lang, headings, heading_levels, keywords, tags, snippet, terms,
     embed_text and links. Terms are those of the title, the headings and the body's first 4096, cut to 4096."""
-    f = facts(df)
+    f = facts(df, extractors)
     c = F.col
     joined = F.concat_ws("\n", F.coalesce(c("facts.title"), F.lit("")), F.array_join("facts.headings", "\n"))
     f = f.withColumn("terms", F.slice(F.concat(text.normalized_tokens(joined), text.capped_terms(c("facts.body"))), 1, text.MAX_TERMS))

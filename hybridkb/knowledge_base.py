@@ -21,7 +21,8 @@ from hybridkb.operators import bm25, filters, graph, refresh, search, store
 from hybridkb.operators.fusion import RankParams
 from hybridkb.session import materialise
 from hybridkb.sources import crawl as crawler
-from hybridkb.sources import files, tree
+from hybridkb.sources import fetch, files, tree
+from hybridkb.sources.auth import StaticToken
 
 DOCUMENT = (
     "doc_id long, url_key long, url string, kind string, content_hash long, title string, snippet string, lang string, tags array<string>, "
@@ -38,8 +39,8 @@ class DimensionMismatch(ValueError):
 class KnowledgeBase:
     """Documents by canonical URL, on a cluster. ``spark.checkpoint.dir`` holds what lies between saves."""
 
-    def __init__(self, spark: SparkSession, path: str | None = None, embedder=None, metric: str = "cosine"):
-        self.spark, self.path, self.metric = spark, path, metric
+    def __init__(self, spark: SparkSession, path: str | None = None, embedder=None, metric: str = "cosine", extractors: tuple = ()):
+        self.spark, self.path, self.metric, self.extractors = spark, path, metric, tuple(extractors)
         self.embedder = embedder or HashEmbedder()
         self.docs = spark.createDataFrame([], DOCUMENT)
         self._snapshot: dict | None = None
@@ -111,7 +112,7 @@ class KnowledgeBase:
         again = rows.groupBy("url_key").count().where("count > 1").select("url_key")
         todo = fresh.where(~F.col("_stored").eqNullSafe(F.col("content_hash"))).drop("_stored")
         todo = todo.unionByName(same.drop("_stored").join(again, "url_key", "left_semi"))
-        told = d.distil(todo)
+        told = d.distil(todo, self.extractors)
         told = materialise(told.drop("body"), "kb-distilled")
         skipped = told.where(F.size("terms") == 0)
         kept = told.where(F.size("terms") > 0)
@@ -127,14 +128,14 @@ class KnowledgeBase:
         out = changes.join(rows.select("ord", "url"), "ord")
         out = out.unionByName(skipped.select("url_key", "ord", F.lit("skipped").alias("change"), "url"))
         out = out.unionByName(same.join(again, "url_key", "left_anti").select("url_key", "ord", F.lit("unchanged").alias("change"), "url"))
-        out = materialise(out.join(facts, "ord", "left").orderBy("ord").select("url", "url_key", "change", "title", d.outline(F.col("headings"), F.col("heading_levels")).alias("headings")), "kb-outcomes")
+        out = materialise(out.join(facts, "ord", "left").select("url", "url_key", "change", "title", d.outline(F.col("headings"), F.col("heading_levels")).alias("headings")), "kb-outcomes")
         self._set(docs)
         return out
 
     def update(
         self,
         url: str,
-        site: DataFrame,
+        site: DataFrame | None = None,
         depth: int = 2,
         max_pages: int = 1000,
         scope: str | None = None,
@@ -143,42 +144,98 @@ class KnowledgeBase:
         index_path_contains: list[str] | None = None,
         pin: bool = False,
         now_ms: int | None = None,
+        validators: DataFrame | None = None,
+        known_edges: DataFrame | None = None,
+        robots: bool = True,
+        retries: int = 2,
+        delay_ms: int = 0,
+        concurrency: int = 8,
+        user_agent: str | None = None,
+        token: str | None = None,
+        auth=None,
+        get=fetch.http_get,
     ) -> DataFrame:
-        """Crawl ``url`` over ``site`` (url, kind, body, status, etag) and ingest what it yields; one row of counts."""
-        config = crawler.CrawlConfig(depth, max_pages, scope=SCOPES.get(scope, "path"), require_path=path_contains or [], extensions=extensions or [], index_path=index_path_contains or [])
-        found = crawler.crawl(site, url, config, self.validators(), self.known_edges())
+        """Crawl ``url`` and ingest what it yields; one row of counts.
+
+        Pages come from ``site`` (url, kind, body, status, etag) if it is given, else over HTTP (``get``), level by level,
+        with the delays, retries and robots rules asked for. ``validators`` (url_key, etag) and ``known_edges``
+        (url_key, children) add to the stored ones, which win where both know a page.
+        """
+        config = crawler.CrawlConfig(depth, max_pages, scope=SCOPES.get(scope, "path"), require_path=path_contains or [], extensions=extensions or [], index_path=index_path_contains or [], concurrency=concurrency, retries=retries, min_delay_ms=delay_ms, user_agent=user_agent)
+        etags, edges = self._with(self.validators(), validators), self._with(self.known_edges(), known_edges)
+        signer = auth or (StaticToken.bearer(token, urls.parse(url).host) if token and urls.parse(url) else None)
+        found = crawler.crawl(site, url, config, etags, edges, fetcher=lambda asked: fetch.fetch(asked, config, signer, get, robots), spark=self.spark, bodies=True)
         found = materialise(found, "kb-crawl")
-        keyed = site.withColumn("url_key", urls.url_key_udf("url")).select("url_key", "kind", "body", "etag")
-        pages = found.where("yielded").join(keyed, "url_key").orderBy("depth", "place").select("url", "kind", "body", "etag")
+        pages = found.where("yielded").orderBy("depth", "place").select("url", F.when(F.lit(site is not None), F.col("kind")).otherwise(F.coalesce("kind", kinds.kind_from_path(F.col("url")))).alias("kind"), "body", "etag")
         changes = self.ingest(pages, pin, now_ms).select("change")
         rest = found.where("outcome <> 'fetched'").select(F.when(F.col("outcome") == "revalidated", "unchanged").otherwise("failed").alias("change"))
         return store.report(changes.unionByName(rest))
 
+    @staticmethod
+    def _with(stored: DataFrame, given: DataFrame | None) -> DataFrame:
+        """``stored`` rows by url_key, and of ``given`` those of other keys."""
+        return stored if given is None else stored.unionByName(given.select(*stored.columns).join(stored.select("url_key"), "url_key", "left_anti"))
+
     def update_files(self, root: str, pin: bool = False, now_ms: int | None = None) -> DataFrame:
         pages = files.read_files(self.spark, root).withColumn("etag", F.lit(None).cast("string"))
         return store.report(self.ingest(pages, pin, now_ms).select("change"))
 
-    def update_tree(self, spec: str, responses: DataFrame, blobs: DataFrame, depth: int | None = None, extensions: list[str] | None = None, max_bytes: int = 2 << 20, pin: bool = False, now_ms: int | None = None) -> DataFrame:
+    def update_tree(
+        self,
+        spec: str,
+        responses: DataFrame | None = None,
+        blobs: DataFrame | None = None,
+        depth: int | None = None,
+        extensions: list[str] | None = None,
+        max_bytes: int = 2 << 20,
+        pin: bool = False,
+        now_ms: int | None = None,
+        token: str | None = None,
+        retries: int = 2,
+        concurrency: int = 8,
+        get=fetch.http_get,
+    ) -> DataFrame:
         """Ingest a repository: ``responses`` (json) is its tree, ``blobs`` (path, body) answers the
-        fetches; entries whose hash is the stored etag are never joined with ``blobs``."""
+        fetches; entries whose hash is the stored etag are never asked for. What isn't given is
+        fetched: the default branch where the spec names none, the tree, and the blobs."""
         s = tree.parse_repo_spec(spec)
+        signer = StaticToken.repository(token) if token else None
         base = f"https://github.com/{s.owner}/{s.repo}/blob/{s.ref or 'HEAD'}/"
+        ref = s.ref or "HEAD"
+        if responses is None:
+            ref, answer = tree.listing(s, lambda url: get(url, None, 64 << 20, dict(signer.credential(url).headers) if signer else {}))
+            responses = self.spark.createDataFrame([(answer,)], "json string")
         entries = tree.admit(tree.entries(responses), s.subdir, depth, max_bytes, extensions)
         known = self.docs.where(F.col("url").startswith(base)).select(F.substring("url", len(base) + 1, 1 << 20).alias("path"), F.col("etag").alias("sha"))
         diff = materialise(tree.difference(entries, known), "kb-tree")
-        got = diff.where("change <> 'revalidated'").join(blobs.select("path", "body"), "path", "left")
+        todo = diff.where("change <> 'revalidated'")
+        if blobs is None:
+            raw = f"https://raw.githubusercontent.com/{s.owner}/{s.repo}/{ref}/"
+            asked = todo.select("path", urls.resolve_udf(F.lit(raw), tree.quoted_path(F.col("path"))).alias("url"))
+            answers = fetch.fetch(asked.withColumn("etag", F.lit(None).cast("string")), crawler.CrawlConfig(max_bytes=max_bytes, retries=retries, concurrency=concurrency), signer, get)
+            blobs = materialise(asked.join(answers.where("status BETWEEN 200 AND 299").select("url", "body"), "url").select("path", "body"), "kb-blobs")
+        got = todo.join(blobs.select("path", "body"), "path", "left")
         pages = got.where("body IS NOT NULL").orderBy("path").select(F.concat(F.lit(base), "path").alias("url"), kinds.kind_from_path(F.col("path")).alias("kind"), "body", F.col("sha").alias("etag"))
         changes = self.ingest(pages, pin, now_ms).select("change")
         rest = diff.where("change = 'revalidated'").select(F.lit("unchanged").alias("change")).unionByName(got.where("body IS NULL").select(F.lit("failed").alias("change")))
         return store.report(changes.unionByName(rest))
 
-    def refresh(self, fetched: DataFrame, now_ms: int, options: refresh.RefreshOptions = refresh.RefreshOptions()) -> DataFrame:
-        """Apply ``fetched`` (url_key, status, kind, body, etag) to the stale documents; one row of counts."""
+    def refresh(self, fetched: DataFrame | None = None, now_ms: int | None = None, options: refresh.RefreshOptions = refresh.RefreshOptions(), retries: int = 2, concurrency: int = 8, delay_ms: int = 0, robots: bool = False, token: str | None = None, auth=None, get=fetch.http_get) -> DataFrame:
+        """Fetch the stale documents again, with their etags, and apply the answers; one row of counts.
+        ``fetched`` (url_key, status, kind, body, etag) stands for the fetches if it is given."""
+        now_ms = int(time.time() * 1000) if now_ms is None else now_ms
         planned = refresh.plan(self.docs, now_ms, options)
+        if fetched is None:
+            asked = planned.where("action = 'fetch'").select("url_key", "url", "etag")
+            config = crawler.CrawlConfig(retries=retries, concurrency=concurrency, min_delay_ms=delay_ms)
+            got = fetch.fetch(asked, config, auth or (StaticToken.repository(token) if token else None), get, robots)
+            kind = kinds.kind_from_content_type(F.col("content_type"))
+            answers = asked.select("url_key", "url").join(got.select("url", "status", F.when(F.col("content_type").isNotNull(), kinds.refine_kind(kind, F.col("url"))).alias("kind"), "body", "etag"), "url")
+            fetched = materialise(answers.drop("url"), "kb-refetched")
         answers = fetched.withColumn("content_hash", urls.content_hash_udf("body"))
         stale = planned.where("action = 'fetch'").select("url_key", "url", F.col("kind").alias("_kind"))
         bodies = answers.where("body IS NOT NULL").join(stale, "url_key").select("url", F.coalesce("kind", "_kind").alias("kind"), "body", "etag", "url_key")
-        told = materialise(d.distil(bodies).select("url_key", F.size("terms").alias("n_terms")), "kb-refresh")
+        told = materialise(d.distil(bodies, self.extractors).select("url_key", F.size("terms").alias("n_terms")), "kb-refresh")
         results = answers.join(told, "url_key", "left").select("url_key", "status", "content_hash", "n_terms")
         actions = materialise(refresh.outcomes(planned, results, options), "kb-actions")
         gone = actions.where("action IN ('evict', 'gone')")

@@ -20,6 +20,16 @@ class Anonymous:
         return Credential()
 
 
+class Presigned(Anonymous):
+    """The URL is signed already and goes out as it is, for hosts where another provider would add a header."""
+
+    def __init__(self, others=None, is_signed: Callable[[str], bool] = lambda url: True):
+        self._others, self._is_signed = others, is_signed
+
+    def credential(self, url: str) -> Credential:
+        return Credential() if self._others is None or self._is_signed(url) else self._others.credential(url)
+
+
 class StaticToken:
     """A header for all hosts, or for one host and those below it."""
 

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hybridkb.functions import html, kinds, markdown, urls
@@ -63,37 +64,67 @@ def _budget(level: DataFrame, rest: int, found: int) -> DataFrame:
     return level.where(F.col("place") <= last)
 
 
-def crawl(site: DataFrame, root: str, config: CrawlConfig = CrawlConfig(), validators: DataFrame | None = None, known_edges: DataFrame | None = None, robots: DataFrame | None = None) -> DataFrame:
+def _fetched(frontier: DataFrame, fetcher: Callable[[DataFrame], DataFrame], validators: DataFrame | None, left: int) -> DataFrame:
+    """The frontier with what ``fetcher`` answered, asked in order of discovery until ``left`` pages have come."""
+    asked = frontier.join(validators.select("url_key", F.col("etag").alias("_known")), "url_key", "left") if validators is not None else frontier.withColumn("_known", F.lit(None).cast("string"))
+    asked = materialise(asked, "crawl-frontier")
+    out, at, n = None, 0, asked.count()
+    while at < n and left > 0:
+        step = max(left, 256)
+        part = asked.where((F.col("place") >= at) & (F.col("place") < at + step))
+        got = materialise(fetcher(part.select("url", F.col("_known").alias("etag"))), "crawl-fetched")
+        out = got if out is None else out.unionByName(got)
+        left -= got.where("status BETWEEN 200 AND 299").count()
+        at += step
+    kind = kinds.refine_kind(kinds.kind_from_content_type(F.col("content_type")), F.coalesce("final_url", "url"))
+    answers = out.select("url", "status", "etag", "final_url", "body", kind.alias("kind"))
+    return asked.select("url", "url_key", "place").join(answers, "url")
+
+
+def crawl(
+    site: DataFrame | None,
+    root: str,
+    config: CrawlConfig = CrawlConfig(),
+    validators: DataFrame | None = None,
+    known_edges: DataFrame | None = None,
+    robots: DataFrame | None = None,
+    fetcher: Callable[[DataFrame], DataFrame] | None = None,
+    spark: SparkSession | None = None,
+    bodies: bool = False,
+) -> DataFrame:
     """(url, url_key, depth, place, outcome, yielded) of a breadth-first crawl from ``root``.
 
     ``site`` (url, kind, body, status, etag[, final_url, url_key]) answers the fetches; a URL that it lacks is a failure.
     ``validators`` (url_key, etag): a page whose etag is the known one is 'revalidated'; it takes no page
     budget, and its children come from ``known_edges`` (url_key, children). ``robots`` (host, path)
     are disallowed prefixes. Outcomes: fetched, revalidated, failed. ``yielded`` is false where only the
-    links are followed (extension, index path). A root that fails raises an error.
+    links are followed (extension, index path). A root that fails raises an error. Without ``site`` each level is
+    asked of ``fetcher``, a function from (url, etag) to ``fetch.FETCHED`` rows, which sends known etags along (304 is
+    'revalidated'). ``bodies`` adds kind, body and etag.
 
     Each level is one join of the frontier with the site, written to the shared folder; children keep
     the least (place of parent, position) at which they are found, and those seen before are anti-joined.
     """
-    spark = site.sparkSession
+    spark = spark or site.sparkSession
     parsed = urls.parse(root)
     if parsed is None:
         raise ValueError(f"not a URL: {root}")
     start = parsed.text(fragment=False)
-    keyed = site if "url_key" in site.columns else site.withColumn("url_key", urls.url_key_udf("url"))
-    pages = keyed.select("url_key", F.col("url").alias("site_url"), "kind", "body", "status", "etag", (F.col("final_url") if "final_url" in site.columns else F.lit(None).cast("string")).alias("final_url"))
+    if site is not None:
+        keyed = site if "url_key" in site.columns else site.withColumn("url_key", urls.url_key_udf("url"))
+        pages = keyed.select("url_key", F.col("url").alias("site_url"), "kind", "body", "status", "etag", (F.col("final_url") if "final_url" in site.columns else F.lit(None).cast("string")).alias("final_url"))
     frontier = spark.createDataFrame([(start, urls.url_key(start), 0)], "url string, url_key long, place long")
     seen: DataFrame | None = None
     levels: list[DataFrame] = []
     left = config.max_pages
     root_col = F.lit(start)
     for depth in range(config.max_depth + 1):
-        level = frontier.join(pages, "url_key", "left")
+        level = frontier.join(pages, "url_key", "left") if site is not None else _fetched(frontier, fetcher, validators, left)
         good = F.coalesce((F.col("status") >= 200) & (F.col("status") < 400), F.lit(False)) & (F.coalesce(F.octet_length("body"), F.lit(0)) <= config.max_bytes)
         same = F.lit(False)
         if validators is not None:
             level = level.join(validators.select("url_key", F.col("etag").alias("_known")), "url_key", "left")
-            same = F.coalesce(F.col("_known") == F.col("etag"), F.lit(False))
+            same = F.coalesce(F.col("_known") == F.col("etag"), F.lit(False)) if site is not None else F.coalesce(F.col("status") == 304, F.lit(False))
         effective = F.coalesce("final_url", "url")
         level = level.withColumn("effective", effective)
         if depth:
@@ -103,13 +134,13 @@ def crawl(site: DataFrame, root: str, config: CrawlConfig = CrawlConfig(), valid
             barred = F.coalesce(F.exists("_no", lambda p: urls.url_path(F.col("url")).startswith(p)), F.lit(False))
             good = good & ~barred
         level = level.withColumns({"outcome": F.when(good & same, "revalidated").when(good, "fetched").otherwise("failed"), "ok": good & ~same})
-        level = materialise(level.select("url", "url_key", "place", "effective", "kind", "body", "outcome", "ok").withColumn("depth", F.lit(depth)), f"crawl-{depth}")
+        level = materialise(level.select("url", "url_key", "place", "effective", "kind", "body", "etag", "outcome", "ok").withColumn("depth", F.lit(depth)), f"crawl-{depth}")
         good_pages = level.where("ok").count()
         level = _budget(level, left, good_pages)
         if depth == 0 and level.where("outcome = 'failed'").count():
             raise RuntimeError(f"the root can't be fetched: {start}")
         shown = urls.extension_allowed(F.col("effective"), config.extensions) & urls.path_allowed(F.col("effective"), config.index_path)
-        levels.append(level.select(F.col("effective").alias("url"), "url_key", "depth", "place", "outcome", (F.col("ok") & shown).alias("yielded")))
+        levels.append(level.select(F.col("effective").alias("url"), "url_key", "depth", "place", "outcome", (F.col("ok") & shown).alias("yielded"), *(["kind", "body", "etag"] if bodies else [])))
         left -= min(left, good_pages)
         if depth == config.max_depth or left <= 0:
             break
@@ -124,6 +155,8 @@ def crawl(site: DataFrame, root: str, config: CrawlConfig = CrawlConfig(), valid
         found = found.select(F.col("dst").alias("url"), urls.url_key_udf("dst").alias("url_key"), "_from", "pos")
         first = found.groupBy("url_key").agg(F.min(F.struct("_from", "pos", "url")).alias("f")).join(seen.distinct(), "url_key", "left_anti")
         frontier = in_order(first.select("f.url", "url_key", "f._from", "f.pos"), ["_from", "pos", "url"], "place").select("url", "url_key", "place")
+        if frontier.isEmpty():
+            break
     out = levels[0]
     for x in levels[1:]:
         out = out.unionByName(x)

@@ -119,9 +119,10 @@ def http_get(url: str, etag: str | None, max_bytes: int, headers: dict[str, str]
 
 
 def fetch(requests: DataFrame, config: CrawlConfig = CrawlConfig(), auth=None, get: Callable = http_get, robots: bool = False, sleep: Callable[[float], None] = time.sleep) -> DataFrame:
-    """A row (``FETCHED``) for each of ``requests`` (url, etag). Requests are partitioned by host, so that one
-    task paces a host; retriable failures are tried again ``config.retries`` times."""
-    signer = auth or Anonymous()
+    """A row (``FETCHED``) for each of ``requests`` (url, etag). A host is asked from ``config.concurrency`` lanes, each
+    of which waits so many times the delay, so that the host sees the asked rate whatever their number;
+    retriable failures are tried again ``config.retries`` times."""
+    signer, lanes = auth or Anonymous(), max(1, config.concurrency)
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         pacer = Pacer()
@@ -136,7 +137,7 @@ def fetch(requests: DataFrame, config: CrawlConfig = CrawlConfig(), auth=None, g
                 if rules and not rules.allowed(url):
                     out.append({"url": url, "error": "disallowed by robots", "attempts": 0})
                     continue
-                wait = max(config.min_delay_ms, rules.delay_ms(url) if rules else 0) / 1000
+                wait = max(config.min_delay_ms, rules.delay_ms(url) if rules else 0) * lanes / 1000
                 headers = dict(signer.credential(url).headers)
                 if config.user_agent:
                     headers["User-Agent"] = config.user_agent
@@ -152,4 +153,4 @@ def fetch(requests: DataFrame, config: CrawlConfig = CrawlConfig(), auth=None, g
             names = ["url", "status", "content_type", "etag", "final_url", "body", "attempts", "error"]
             yield pd.DataFrame({n: pd.Series([r.get(n) for r in out], dtype=object) for n in names})
 
-    return requests.select("url", "etag").repartition(urls.host_of(F.col("url"))).mapInPandas(run, FETCHED)
+    return requests.select("url", "etag").repartition(urls.host_of(F.col("url")), F.pmod(F.xxhash64("url"), F.lit(lanes))).mapInPandas(run, FETCHED)

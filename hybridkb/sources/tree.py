@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import json
 import re
+from collections.abc import Callable
 from typing import NamedTuple
+from urllib.parse import quote
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hybridkb.functions import kinds, urls
@@ -51,6 +54,26 @@ def parse_repo_spec(text: str) -> RepoSpec:
     return RepoSpec(parts[0], repo, parts[3], "/".join(parts[4:]))
 
 
+def listing(spec: RepoSpec, get: Callable[[str], dict]) -> tuple[str, str]:
+    """(ref, the tree's JSON) of a repository: one request for its default branch where the spec has no ref, one for
+    the whole tree. A status other than 200 is an error."""
+
+    def asked(url: str) -> str:
+        got = get(url)
+        if got.get("status") != 200 or got.get("body") is None:
+            raise RuntimeError(f"{url}: {got.get('error') or got.get('status')}")
+        return bytes(got["body"]).decode()
+
+    api = f"https://api.github.com/repos/{spec.owner}/{spec.repo}"
+    ref = spec.ref or json.loads(asked(api))["default_branch"]
+    return ref, asked(f"{api}/git/trees/{quote(ref, safe='')}?recursive=1")
+
+
+def quoted_path(path: Column) -> Column:
+    """A path as it stands in a URL."""
+    return F.replace(F.replace(F.url_encode(path), F.lit("%2F"), F.lit("/")), F.lit("+"), F.lit("%20"))
+
+
 def entries(responses: DataFrame) -> DataFrame:
     """(path, type, sha, size) from one tree response (column ``json``); a truncated one is an error."""
     parsed = responses.select(F.from_json("json", f"tree {ENTRY}, truncated boolean").alias("r"))

@@ -178,3 +178,98 @@ def test_large_ingest_keeps_every_page(spark):
     kb = KnowledgeBase.in_memory(spark)
     assert kb.ingest(pages).where("change = 'added'").count() == 8_000
     assert len(kb) == 8_000 and kb.docs.agg(F.countDistinct("doc_id"), F.max("doc_id")).first()[:] == (8_000, 7_999)
+
+
+def web(seen=None, pages=None):
+    """A stand-in for the network, in place of ``fetch.http_get``; ``seen`` is a folder where requests are noted."""
+    import uuid
+    from pathlib import Path
+
+    def get(url, etag, most, headers):
+        if seen:
+            (Path(seen) / uuid.uuid4().hex).write_text(f"{url}|{etag or ''}|{headers.get('Authorization', '')}")
+        if url.endswith("/robots.txt"):
+            return {"status": 200, "body": b"User-agent: *\nDisallow: /docs/private\n"}
+        name = url[len(ROOT) :] or "index"
+        body, status = (pages or PAGES).get(name, ("", 404))
+        if status == 200 and etag == f"{name}-{len(body)}":
+            return {"status": 304}
+        return {"status": status, "body": body.encode(), "etag": f"{name}-{len(body)}", "content_type": "text/html; charset=utf-8", "error": None if status == 200 else f"status {status}"}
+
+    return get
+
+
+def requests_of(folder):
+    got = [p.read_text().split("|") for p in folder.iterdir()]
+    for p in folder.iterdir():
+        p.unlink()
+    return {u[len(ROOT) :] or "index": (etag, signed) for u, etag, signed in got if not u.endswith("robots.txt")}
+
+
+def test_live_crawl_and_refresh(spark, tmp_path):
+    from hybridkb.functions.urls import url_key
+
+    kb = KnowledgeBase.in_memory(spark)
+    pages = PAGES | {"index": (PAGES["index"][0] + "<a href='/docs/private'>p</a>", 200), "private": ("<p>not for robots</p>", 200)}
+    r = kb.update(ROOT, depth=3, scope="host", now_ms=1000, token="t", get=web(str(tmp_path), pages)).first()
+    assert (r.added, r.failed) == (3, 2) and kb.search("storage buckets", 1).first().title == "Storage"
+    seen = requests_of(tmp_path)
+    assert set(seen) == {"index", "net", "store", "gone"} and seen["net"] == ("", "Bearer t"), "robots.txt keeps the crawl from the rest"
+
+    r = kb.update(ROOT, depth=3, scope="host", now_ms=2000, get=web(str(tmp_path), pages)).first()
+    again = requests_of(tmp_path)
+    assert (r.added, r.updated, r.unchanged) == (0, 0, 3) and all(again[n][0] for n in ("index", "net", "store")), "etags go along"
+
+    changed = pages | {"store": ("<title>Storage two</title><p>Archive tiers</p>", 200), "net": ("", 404)}
+    r = kb.refresh(now_ms=10_000, options=refresh.RefreshOptions(ttl_ms=100), get=web(pages=changed)).first()
+    assert (r.refreshed, r.unchanged, r.removed, r.failed) == (1, 1, 1, 0) and len(kb) == 2
+    assert kb.search("archive tiers", 1).first().title == "Storage two"
+
+    fresh = KnowledgeBase.in_memory(spark)  # what the caller knows of pages that the index lacks
+    known = spark.createDataFrame([(url_key(ROOT), f"index-{len(PAGES['index'][0])}")], "url_key long, etag string")
+    edges = spark.createDataFrame([(url_key(ROOT), [ROOT + "net"])], "url_key long, children array<string>")
+    r = fresh.update(ROOT, depth=1, scope="host", validators=known, known_edges=edges, get=web()).first()
+    assert (r.added, r.unchanged) == (1, 1)
+
+
+def test_live_tree(spark):
+    listing = {"tree": [{"path": p, "type": "blob", "sha": s, "size": 9} for p, s in (("a/x y.md", "1"), ("b.md", "2"), ("c.md", "3"))], "truncated": False}
+
+    def get(url, etag, most, headers):
+        if url == "https://api.github.com/repos/own/repo":
+            return {"status": 200, "body": b'{"default_branch": "trunk"}'}
+        if url == "https://api.github.com/repos/own/repo/git/trees/trunk?recursive=1":
+            return {"status": 200, "body": json.dumps(listing).encode()}
+        if url.startswith("https://raw.githubusercontent.com/own/repo/trunk/") and headers.get("Authorization") == "Bearer t":
+            return {"status": 404, "error": "status 404"} if url.endswith("c.md") else {"status": 200, "body": f"# Title\nwords of {url}".encode()}
+        return {"status": 500, "error": "unexpected"}
+
+    kb = KnowledgeBase.in_memory(spark)
+    r = kb.update_tree("github:own/repo", token="t", retries=0, get=get).first()
+    assert (r.added, r.failed) == (2, 1)
+    r = kb.update_tree("github:own/repo", token="t", retries=0, get=get).first()
+    assert (r.added, r.unchanged, r.failed) == (0, 2, 1)
+    with pytest.raises(RuntimeError):
+        kb.update_tree("github:own/other", get=get)
+
+
+def test_a_further_extractor(spark):
+    from hybridkb.functions import distil
+
+    class Csv(distil.Extractor):
+        kinds = frozenset(["text"])
+
+        def extract(self, df):
+            line = F.split(F.decode("body", "UTF-8"), "\n")
+            none = F.array().cast("array<string>")
+            return df.withColumn("facts", F.struct(F.get(line, F.lit(0)).alias("title"), F.lit("xx").alias("lang"), none.alias("headings"), F.array().cast("array<int>").alias("levels"), F.array_join(F.slice(line, 2, 1000), " ").alias("body"), none.alias("links")))
+
+    kb = KnowledgeBase.in_memory(spark, extractors=(Csv(),))
+    rows = [("https://e.example/a.txt", "text", bytearray(b"name,size\napples,3\npears,4"), None), ("https://e.example/b.md", "markdown", bytearray(b"# Other\nplums"), None)]
+    kb.ingest(spark.createDataFrame(rows, "url string, kind string, body binary, etag string"))
+    assert {r.title: r.lang for r in kb.docs.collect()} == {"name,size": "xx", "Other": None}
+
+
+def test_presigned():
+    signed = auth.Presigned(auth.StaticToken.bearer("t"), lambda u: "Signature=" in u)
+    assert signed.credential("http://h/x?Signature=1").headers == {} and signed.credential("http://h/x").headers

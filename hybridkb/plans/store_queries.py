@@ -9,7 +9,7 @@ from hybridkb.operators import refresh, store
 from hybridkb.plans.catalog import register
 from hybridkb.plans.common import DAY_MS, EDGES_SQL, KB_SQL, NOW_MS, kb_docs, link_edges
 from hybridkb.session import table
-from hybridkb.sources import crawl
+from hybridkb.sources import crawl, fetch
 
 TTL, OLD = 2 * DAY_MS, 3 * DAY_MS
 
@@ -169,15 +169,16 @@ def site(spark, sf_dir):
     return rows.select(F.concat(F.lit("https://site.example.com/d/"), F.col("doc_id").cast("string")).alias("url"), F.lit("html").alias("kind"), body.alias("body"), F.lit(200).alias("status"), F.concat(F.lit("e"), F.col("doc_id").cast("string")).alias("etag"))
 
 
-_REACH = "RECURSIVE n AS (SELECT count(*) AS n FROM documents), edges AS (SELECT DISTINCT src, dst FROM (SELECT doc_id AS src, unnest([(doc_id * 7 + 1) % n, (doc_id * 3 + 2) % n, doc_id // 2]) AS dst FROM documents, n) WHERE src <> dst), walk AS (SELECT 0::BIGINT AS id, 0 AS depth UNION SELECT dst, depth + 1 FROM walk JOIN edges ON src = id WHERE depth < 3)"
+_REACH = "RECURSIVE n AS (SELECT count(*) AS n FROM documents), edges AS (SELECT DISTINCT src, dst FROM (SELECT doc_id AS src, unnest([(doc_id * 7 + 1) % n, (doc_id * 3 + 2) % n, doc_id // 2]) AS dst FROM documents, n) WHERE src <> dst), walk AS (SELECT 0::BIGINT AS id, 0 AS depth UNION SELECT dst, depth + 1 FROM walk JOIN edges ON src = id WHERE depth < {depth})"
 
 
-@register("crawl_bfs", f"WITH {_REACH} SELECT 'https://site.example.com/d/' || id AS url, min(depth) AS depth, 'fetched' AS outcome FROM walk GROUP BY id")
+@register("crawl_bfs", f"WITH {_REACH.format(depth=40)} SELECT 'https://site.example.com/d/' || id AS url, min(depth) AS depth, 'fetched' AS outcome FROM walk GROUP BY id")
 def crawl_bfs(spark, sf_dir):
-    return crawl.crawl(site(spark, sf_dir), "https://site.example.com/d/0", crawl.CrawlConfig(3, 1_000_000, scope="host")).select("url", "depth", "outcome")
+    """Until no page is left: every document that links lead to."""
+    return crawl.crawl(site(spark, sf_dir), "https://site.example.com/d/0", crawl.CrawlConfig(40, 1_000_000_000, scope="host")).select("url", "depth", "outcome")
 
 
-@register("crawl_conditional", f"WITH {_REACH} SELECT 'https://site.example.com/d/' || id AS url, min(depth) AS depth, CASE WHEN id % 2 = 0 THEN 'revalidated' ELSE 'fetched' END AS outcome FROM walk GROUP BY id")
+@register("crawl_conditional", f"WITH {_REACH.format(depth=6)} SELECT 'https://site.example.com/d/' || id AS url, min(depth) AS depth, CASE WHEN id % 2 = 0 THEN 'revalidated' ELSE 'fetched' END AS outcome FROM walk GROUP BY id")
 def crawl_conditional(spark, sf_dir):
     """Pages of even number are known with their etag and links; they are revalidated and followed all the same."""
     from hybridkb.functions import urls
@@ -187,4 +188,23 @@ def crawl_conditional(spark, sf_dir):
     known = s.select("url_key", F.when(number % 2 == 0, F.col("etag")).otherwise(F.lit("old")).alias("etag"))
     children = F.transform(F.expr("regexp_extract_all(decode(body, 'UTF-8'), 'href=\"([^\"]+)\"', 1)"), lambda h: F.concat(F.lit("https://site.example.com"), h))
     edges = s.select("url_key", children.alias("children"))
-    return crawl.crawl(s.drop("url_key"), "https://site.example.com/d/0", crawl.CrawlConfig(3, 1_000_000, scope="host"), known, edges).select("url", "depth", "outcome")
+    return crawl.crawl(s.drop("url_key"), "https://site.example.com/d/0", crawl.CrawlConfig(6, 1_000_000_000, scope="host"), known, edges).select("url", "depth", "outcome")
+
+
+@register("crawl_fetch", f"WITH {_REACH.format(depth=6)} SELECT 'https://site.example.com/d/' || id AS url, min(depth) AS depth, CASE WHEN id % 5 = 3 THEN 'failed' ELSE 'fetched' END AS outcome FROM (SELECT * FROM walk) GROUP BY id".replace("FROM walk JOIN edges ON src = id WHERE", "FROM walk JOIN edges ON src = id WHERE id % 5 <> 3 AND"))
+def crawl_fetch(spark, sf_dir):
+    """The same pages asked for one by one of a stand-in for the network; those of numbers 3, 8, 13, … aren't there."""
+    n = table(spark, sf_dir, "documents").count()
+
+    def get(url, etag, most, headers):
+        if url.endswith("/robots.txt"):
+            return {"status": 200, "body": b"User-agent: *\nAllow: /\n"}
+        i = int(url.rsplit("/", 1)[1])
+        if i % 5 == 3:
+            return {"status": 404, "error": "status 404"}
+        links = "".join(f'<a href="/d/{j}">next</a>' for j in sorted({(7 * i + 1) % n, (3 * i + 2) % n, i // 2} - {i}))
+        return {"status": 200, "body": f"<html><body>{links}</body></html>".encode(), "content_type": "text/html"}
+
+    config = crawl.CrawlConfig(6, 1_000_000_000, scope="host")
+    found = crawl.crawl(None, "https://site.example.com/d/0", config, fetcher=lambda asked: fetch.fetch(asked, config, get=get, robots=True), spark=spark)
+    return found.select("url", "depth", "outcome")

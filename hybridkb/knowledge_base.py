@@ -255,7 +255,9 @@ class KnowledgeBase:
         docs, changed = store.set_pinned(self.docs, prefix, value)
         n = changed.first().changed
         if n:
+            index = self._snapshot
             self._set(docs)
+            self._snapshot = index  # pins are no part of it
         return n
 
     def remove(self, url: str) -> bool:

@@ -267,8 +267,11 @@ def links(signature: np.ndarray, owner: np.ndarray, entries: np.ndarray, thresho
                 continue
             for s in at.tolist():  # a large group, by rows, until it is connected
                 members = owner[s : s + m]
-                for r in range(1, m - 1):
-                    consider(np.full(m - r - 1, members[r]), members[r + 1 :])
+                members = members[np.argsort(entries["size"][members], kind="stable")]
+                size = entries["size"][members]
+                last = np.searchsorted(size, size / threshold * (1 + 1e-9), "right")  # larger ones can't be alike
+                for r in range(m - 1):
+                    consider(np.full(last[r] - r - 1, members[r]), members[r + 1 : last[r]])
                     if r % 16 == 0 and not len(open_groups(np.array([s]), m)):
                         break
     root = ids[unions.roots(np.arange(len(ids)))]

@@ -148,6 +148,24 @@ def test_blocks_of_a_large_group(spark):
     assert classes(nd.near_duplicate_classes(frame, block=4)) == brute_classes(docs, nd.THRESHOLD)
 
 
+def test_a_signature_that_many_share():
+    """Groups of over 512 entries: whoever is alike is connected, by whatever order of sizes."""
+    rng = np.random.default_rng(5)
+    shared = rng.integers(0, 1 << 63, 40, dtype=np.uint64)
+    sets = []
+    for i in range(700):
+        base = np.random.default_rng(1000 + i // 2).integers(0, 1 << 63, 30 + (i // 2) % 90, dtype=np.uint64)
+        sets.append(np.unique(np.concatenate([shared[:3], base[: len(base) - i % 2]])))
+    ids, bounds = np.arange(700), np.cumsum([0] + [len(x) for x in sets])
+    entries = np.zeros(700, nd.ENTRY)
+    entries["id"], entries["size"], entries["sketch"] = ids, np.diff(bounds), nd.sketches(np.concatenate(sets), bounds)
+    a, b = nd.links(np.zeros(700, np.uint32), np.arange(700), entries, 0.75)
+    u = Unions(700)
+    u.join(a, b)
+    root = u.roots(ids)
+    assert (root[::2] == root[1::2]).all() and len(np.unique(root)) > 300
+
+
 def test_components(spark):
     rng = random.Random(9)
     edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(150)] + [(i, i + 1) for i in range(300, 340)] + [(None, 3), (5, None), (7, 7)]

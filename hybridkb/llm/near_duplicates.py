@@ -19,7 +19,8 @@ N-grams are compared as 64-bit hashes.
 
 Scale: copies of one set are told apart from different sets first, within each task, so that a text
 repeated a million times costs one comparison a task. Signatures travel in binary blocks by ``part``, cut
-to 32 bits there (a chance meeting costs one comparison). Links are shuffled, pairs never: at most one
+to 32 bits there (a chance meeting costs one comparison); a part beyond ``CHUNK_BYTES``, as by a passage that
+very many documents share, is cut into chunks, and each two chunks meet in a task of their own. Links are shuffled, pairs never: at most one
 link for each document and task, one count for each set and tile. Different sets of a component are
 hashed into blocks; each block is compared within itself where it is packed, and blocks of one
 component meet pairwise, read from files that are written once.
@@ -54,6 +55,8 @@ RUN_BYTES = 8_000_000
 PIECE_BYTES = 500_000
 #: Sets that a task remembers to know copies by.
 KNOWN_SETS = 200_000
+#: Bytes of signatures and entries that a task compares at once. A group of signatures with more is cut into chunks.
+CHUNK_BYTES = 256_000_000
 SKETCH_BITS, DEVIATIONS = 192, 8.0
 
 _U = np.uint64
@@ -223,20 +226,27 @@ def alike(a: np.ndarray, b: np.ndarray, threshold: float) -> np.ndarray:
     return (small >= threshold * large - 1e-9) & (unlike <= np.minimum(differing, SKETCH_BITS * p + DEVIATIONS * np.sqrt(SKETCH_BITS * p * (1 - p))))
 
 
-def links(signature: np.ndarray, owner: np.ndarray, entries: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+def links(
+    signature: np.ndarray, owner: np.ndarray, entries: np.ndarray, threshold: float, second: int | None = None, joined: tuple[np.ndarray, np.ndarray] | None = None
+) -> tuple[np.ndarray, np.ndarray]:
     """(id, least id linked with it), from entries that meet in a signature and are alike.
 
     What counts is who is connected: in each signature's group the first entry is compared with all
     others, and only pairs that are not yet connected are compared after that. A group of
-    copies takes as many comparisons as it has members, once for all its signatures.
+    copies takes as many comparisons as it has members, once for all its signatures. Entries from ``second``
+    on are another chunk: the two are compared with each other alone, ``joined`` being what each has linked within itself.
     """
     if not len(signature):
         return np.empty(0, np.int64), np.empty(0, np.int64)
     ids, number = np.unique(entries["id"], return_inverse=True)
     unions = Unions(len(ids))
+    if joined is not None:
+        unions.join(*(np.searchsorted(ids, x) for x in joined))
 
     def consider(x: np.ndarray, y: np.ndarray) -> None:
         apart = unions.roots(number[x]) != unions.roots(number[y])
+        if second is not None:
+            apart &= (x < second) != (y < second)
         x, y = x[apart], y[apart]
         ok = alike(entries[x], entries[y], threshold)
         unions.join(number[x[ok]], number[y[ok]])
@@ -287,8 +297,9 @@ def _sized(side: DataFrame) -> DataFrame:
     return F.broadcast(side) if side.count() <= BROADCAST_ROWS else side
 
 
-def candidate_links(docs: DataFrame, n: int, threshold: float) -> DataFrame:
-    """(a, b) links of which the components hold every pair at or over the threshold."""
+def candidate_links(docs: DataFrame, n: int, threshold: float, chunk: int = CHUNK_BYTES) -> DataFrame:
+    """(a, b) links of which the components hold every pair at or over the threshold. Groups of signatures of more
+    than ``chunk`` bytes are compared by chunks: each within itself, then each two of them in a task of their own."""
     spark, rows = docs.sparkSession, _rows(docs)
     small_batches(spark)
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -330,27 +341,70 @@ def candidate_links(docs: DataFrame, n: int, threshold: float) -> DataFrame:
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int32()), *(pa.array([r[k] for r in out], pa.binary()) for k in (1, 2, 3, 4))], names=["part", "sig", "owner", "entries", "same"])
 
+    root = scratch(spark, "near-chunks")
+    system, path = fs.FileSystem.from_uri(root)
+    system.create_dir(path, recursive=True)
+
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held = None, []
+        now, held, size, cut = None, [], 0, False
 
-        def close() -> pa.RecordBatch:
+        def close() -> Iterator[pa.RecordBatch]:
             base = np.cumsum([0] + [len(h[2]) for h in held[:-1]])
-            got = links(np.concatenate([h[0] for h in held]), np.concatenate([h[1].astype(np.int64) + k for h, k in zip(held, base)]), np.concatenate([h[2] for h in held]), threshold)
+            sig, entries = (np.concatenate([h[k] for h in held]) for k in (0, 2))
+            owner = np.concatenate([h[1].astype(np.int64) + k for h, k in zip(held, base)])
+            got = links(sig, owner, entries, threshold)
             copies = np.concatenate([h[3] for h in held])
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate([got[k], copies[:, k]])) for k in (0, 1)], names=["a", "b"])
+            ends = [np.concatenate([got[k], copies[:, k]]) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(ends[0]), pa.int32()), pa.nulls(len(ends[0]), pa.string()), *map(pa.array, ends)], names=["part", "path", "a", "b"])
+            if cut:
+                name = f"{root}/{uuid.uuid4().hex}.npz"
+                _save(name, sig=sig, owner=owner, entries=entries, a=got[0], b=got[1])
+                yield pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([name]), *(pa.nulls(1, pa.int64()) for _ in (0, 1))], names=["part", "path", "a", "b"])
 
         for batch in batches:
             for p, sig, owner, entries, same in zip(*(c.to_pylist() for c in batch.columns)):
-                if p != now and held:
-                    yield close()
-                    held = []
+                more = len(sig) + len(owner) + len(entries)
+                if p != now:
+                    if held:
+                        yield from close()
+                    held, size, cut = [], 0, False
+                elif size + more > chunk:
+                    cut = True
+                    yield from close()
+                    held, size = [], 0
                 now, e = p, np.frombuffer(entries, ENTRY)
                 held.append((np.frombuffer(sig, "<u4"), np.frombuffer(owner, "<u4" if len(e) > 65535 else "<u2"), e, np.frombuffer(same, "<i8").reshape(-1, 2)))
+                size += more
         if held:
-            yield close()
+            yield from close()
+
+    def cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, x = None, None
+        for batch in batches:
+            for near, far in zip(*(c.to_pylist() for c in batch.columns)):
+                if near != name:
+                    name, x = near, _load(near)
+                y = _load(far)
+                common = np.intersect1d(x["sig"], y["sig"])
+                in_x, in_y = np.isin(x["sig"], common), np.isin(y["sig"], common)
+                got = links(
+                    np.concatenate([x["sig"][in_x], y["sig"][in_y]]), np.concatenate([x["owner"][in_x], y["owner"][in_y] + len(x["entries"])]),
+                    np.concatenate([x["entries"], y["entries"]]), threshold, len(x["entries"]), tuple(np.concatenate([x[k], y[k]]) for k in ("a", "b")),
+                )
+                yield pa.RecordBatch.from_arrays([pa.array(g) for g in got], names=["a", "b"])
 
     blocks = rows.mapInArrow(lean(emit), "part int, sig binary, owner binary, entries binary, same binary")
-    return blocks.repartition(tasks, "part").sortWithinPartitions("part").mapInArrow(lean(meet), "a long, b long")
+    first = materialise(blocks.repartition(tasks, "part").sortWithinPartitions("part").mapInArrow(lean(meet), "part int, path string, a long, b long"), "near-links")
+    found, files = first.where("path IS NULL").select("a", "b"), first.where("path IS NOT NULL").select("part", "path")
+    if files.isEmpty():
+        discard(root)
+        found._scratch_path = first._scratch_path
+        return found
+    tiles = materialise(files.join(files.withColumnRenamed("path", "other"), "part").where("path < other").select("path", "other"), "near-chunk-list")
+    tasks = max(tasks, math.ceil(tiles.count() / 16))
+    second = materialise(tiles.repartition(tasks, "path", "other").sortWithinPartitions("path").mapInArrow(lean(cross), "a long, b long"), "near-chunk-links")
+    discard(root, tiles)
+    return found.unionByName(second)
 
 
 def intersections(hashes: list[np.ndarray], others: list[np.ndarray] | None = None) -> np.ndarray:
@@ -424,20 +478,28 @@ class Verdicts:
             self.out, self.rows = [], 0
 
 
-def _put(path: str, keys: np.ndarray, sets: list[np.ndarray]) -> None:
+def _save(path: str, **arrays: np.ndarray) -> None:
     blob = io.BytesIO()
-    np.savez(blob, keys=keys, bounds=np.cumsum([0] + [len(x) for x in sets]), grams=np.concatenate(sets))
+    np.savez(blob, **arrays)
     system, at = fs.FileSystem.from_uri(path)
     with system.open_output_stream(at) as f:
         f.write(blob.getvalue())
 
 
-def _get(path: str) -> tuple[np.ndarray, list[np.ndarray]]:
+def _load(path: str) -> dict[str, np.ndarray]:
     system, at = fs.FileSystem.from_uri(path)
     with system.open_input_file(at) as f:
-        held = np.load(io.BytesIO(f.read()))
-        bounds, grams = held["bounds"], held["grams"]
-        return held["keys"], [grams[x:y] for x, y in zip(bounds, bounds[1:])]
+        return dict(np.load(io.BytesIO(f.read())))
+
+
+def _put(path: str, keys: np.ndarray, sets: list[np.ndarray]) -> None:
+    _save(path, keys=keys, bounds=np.cumsum([0] + [len(x) for x in sets]), grams=np.concatenate(sets))
+
+
+def _get(path: str) -> tuple[np.ndarray, list[np.ndarray]]:
+    held = _load(path)
+    bounds, grams = held["bounds"], held["grams"]
+    return held["keys"], [grams[x:y] for x, y in zip(bounds, bounds[1:])]
 
 
 def verified(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD, pairs: bool = False, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
@@ -447,7 +509,7 @@ def verified(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD, pair
     if not 0.5 <= threshold <= 1:
         raise ValueError("the threshold must lie in [0.5, 1]: under it, alike sets can lie two size bands apart")
     spark = docs.sparkSession
-    links_ = materialise(candidate_links(docs, n, threshold), "near-links")
+    links_ = candidate_links(docs, n, threshold)
     placed = materialise(connected_components(links_), "near-groups")
     discard(links_)
     members = _rows(docs).join(_sized(placed), F.col("doc_id") == F.col("node")).select("component", "doc_id", "text")

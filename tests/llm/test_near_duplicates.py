@@ -166,6 +166,35 @@ def test_a_signature_that_many_share():
     assert (root[::2] == root[1::2]).all() and len(np.unique(root)) > 300
 
 
+def test_groups_of_signatures_by_chunks(spark):
+    docs = corpus(4) + [(1000 + i, t) for i, t in corpus(4)[::7]]
+    frame = spark.createDataFrame(docs, DOCS).repartition(6)
+
+    def groups(links):
+        return {(r.node, r.component) for r in connected_components(links).collect()}
+
+    whole = nd.candidate_links(frame, nd.NGRAM, nd.THRESHOLD)
+    assert groups(nd.candidate_links(frame, nd.NGRAM, nd.THRESHOLD, 2000)) == groups(whole)
+
+
+def test_two_chunks_of_one_signature():
+    """Pairs across chunks are found with those within them taken as given."""
+    rng = np.random.default_rng(8)
+    bases = [rng.integers(0, 1 << 63, 40 + i % 60, dtype=np.uint64) for i in range(300)]
+    sets = [np.unique(bases[i % 300][: len(bases[i % 300]) - i // 300]) for i in range(900)]
+    entries = np.zeros(900, nd.ENTRY)
+    bounds = np.cumsum([0] + [len(x) for x in sets])
+    entries["id"], entries["size"], entries["sketch"] = np.arange(900), np.diff(bounds), nd.sketches(np.concatenate(sets), bounds)
+    for second in (1, 450, 600):
+        halves = [nd.links(np.zeros(len(e), np.uint32), np.arange(len(e)), e, 0.75) for e in (entries[:second], entries[second:])]
+        joined = tuple(np.concatenate([h[k] for h in halves]) for k in (0, 1))
+        a, b = nd.links(np.zeros(900, np.uint32), np.arange(900), entries, 0.75, second, joined)
+        u = Unions(900)
+        u.join(a, b)
+        root = u.roots(np.arange(900))
+        assert (root[:300] == root[300:600]).all() and (root[:300] == root[600:]).all() and len(np.unique(root)) == 300
+
+
 def test_components(spark):
     rng = random.Random(9)
     edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(150)] + [(i, i + 1) for i in range(300, 340)] + [(None, 3), (5, None), (7, 7)]

@@ -56,6 +56,13 @@ def test_links_of_anything(page):
     markdown.markdown_facts(page)
 
 
+def test_title_source():
+    f = html.page_facts("\n<html>\n <title>a &lt; &quot;b &amp</title><p>d&amp")
+    assert (f["title"], f["title_source"]) == ('a < "b &', "a &lt; &quot;b &amp")
+    assert html.page_facts("<TITLE lang='x'>A&am</TITLE><title>B</title>")["title_source"] == "A&am"
+    assert html.page_facts("<title> </title>")["title_source"] is html.page_facts("<title>a")["title_source"] is html.page_facts("x")["title_source"] is None
+
+
 def test_links():
     page = """<A HREF='/one'>x</A><!-- <a href="/no"> --><script>"<a href='/no'>"</script><abbr href="/no"><a class="x>y" href=/two>z</a>
     <a href = "/t?a=1&amp;b=2">q</a><a href="">e</a><a title="href">n</a><style><a href="/no"></style><a href="/last"""

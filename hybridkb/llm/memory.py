@@ -7,6 +7,8 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 
+from hybridkb.functions.udf import BATCH_BYTES, small_batches  # noqa: F401
+
 _slot: list = [None, None, False]
 
 
@@ -42,19 +44,6 @@ def tidy() -> None:
         pass
 
 
-#: Bytes of an Arrow batch sent to a worker at most; a longer row is a batch by itself.
-BATCH_BYTES = 8 << 20
-
-
-def small_batches(spark) -> None:
-    """Lower the session's limit of an Arrow batch to ``BATCH_BYTES``: a worker and its executor then hold a
-    few batches of texts whatever the number of rows in one."""
-    key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    now = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key))
-    if not 0 < now <= BATCH_BYTES:
-        spark.conf.set(key, str(BATCH_BYTES))
-
-
 def lean(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
     """``run`` over a partition, tidied after it."""
 

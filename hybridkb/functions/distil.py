@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hybridkb.functions import html, markdown, text, urls
+from hybridkb.functions.udf import arrow_function
 
 _FACTS = "struct<title:string,lang:string,headings:array<string>,levels:array<int>,body:string,links:array<string>>"
 
@@ -78,14 +80,36 @@ def distil(df: DataFrame, extractors: Sequence[Extractor] = ()) -> DataFrame:
     return f.drop("facts")
 
 
+@arrow_function("array<struct<pos:int,key:long>>")
+def _first_keys_udf(bases: pd.Series, links: pd.Series, caps: pd.Series) -> pd.Series:
+    """Place and key of the first distinct http(s) links of each row, until there are as many as the cap."""
+
+    def one(base, hrefs, cap):
+        found, tried = {}, set()
+        at = urls.parse(base) if isinstance(base, str) else None
+        for pos, href in enumerate([] if hrefs is None or not isinstance(base, str) else hrefs):
+            if len(found) >= cap:
+                break
+            if href is None or href in tried:
+                continue
+            tried.add(href)
+            u = urls.resolve(at or "", href)
+            if u and u.scheme in ("http", "https") and (key := urls.url_key(u.text(fragment=False))) is not None:
+                found.setdefault(key, pos)
+        return [{"pos": p, "key": k} for k, p in found.items()]
+
+    return pd.Series([one(b, h, c) for b, h, c in zip(bases, links, caps)], dtype=object)
+
+
 def edges_of(df: DataFrame, cap: int = 64) -> DataFrame:
-    """(url, edges): the canonical keys of http(s) links, distinct in document order, the first ``cap``, in unsigned order."""
-    links = df.select("url", F.posexplode("links").alias("pos", "href"))
-    keyed = links.withColumn("key", urls.url_key_udf(urls.resolve_udf("url", "href"))).where("key IS NOT NULL")
-    first = keyed.groupBy("url", "key").agg(F.min("pos").alias("pos"))
-    sorted_keys = F.array_sort(F.collect_list(F.struct("pos", "key")))
-    unsigned = F.transform(F.slice(F.transform(sorted_keys, lambda s: s["key"]), 1, cap), lambda k: F.struct((k < 0).alias("high"), k.alias("key")))
-    return first.groupBy("url").agg(F.transform(F.array_sort(unsigned), lambda s: s["key"]).alias("edges"))
+    """(url, edges): the canonical keys of http(s) links, distinct in document order, the first ``cap``, in unsigned order.
+
+    Links are read within their row and only until the cap is reached, so that ``cap`` keys a row at most are shuffled; of
+    rows that repeat a URL the places count together."""
+    first = df.select("url", _first_keys_udf("url", "links", F.lit(cap)).alias("x")).where("url IS NOT NULL AND size(x) > 0")
+    sorted_keys = F.array_distinct(F.transform(F.sort_array(F.flatten(F.collect_list("x"))), lambda s: s["key"]))
+    unsigned = F.transform(F.slice(sorted_keys, 1, cap), lambda k: F.struct((k < 0).alias("high"), k.alias("key")))
+    return first.groupBy("url").agg(F.transform(F.sort_array(unsigned), lambda s: s["key"]).alias("edges"))
 
 
 def outline(headings: Column, levels: Column) -> Column:

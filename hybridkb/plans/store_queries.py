@@ -154,9 +154,8 @@ def edge_cap_64(spark, sf_dir):
     """Distinct targets in order of first appearance, the first 64 of each source."""
     from hybridkb.functions import distil
 
-    href = F.concat(F.lit("/part/"), F.col("l_partkey").cast("string"))
-    lines = table(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(F.array_sort(F.collect_list(F.struct("l_orderkey", "l_linenumber", href.alias("href")))).alias("x"))
-    pages = lines.select("l_suppkey", F.concat(F.lit("https://s"), F.col("l_suppkey").cast("string"), F.lit(".example.com/")).alias("url"), F.transform("x", lambda r: r["href"]).alias("links"))
+    lines = table(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(F.sort_array(F.collect_list(F.struct("l_orderkey", "l_linenumber", "l_partkey"))).alias("x"))
+    pages = lines.select("l_suppkey", F.concat(F.lit("https://s"), F.col("l_suppkey").cast("string"), F.lit(".example.com/")).alias("url"), F.transform("x", lambda r: F.concat(F.lit("/part/"), r["l_partkey"].cast("string"))).alias("links"))
     return pages.join(distil.edges_of(pages), "url").select("l_suppkey", F.size("edges").cast("long").alias("edges"))
 
 

@@ -7,6 +7,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from hybridkb.functions import distil, udf, urls
 from hybridkb.operators import bm25
 from hybridkb.plans import catalog
 
@@ -53,3 +54,27 @@ def test_batch_of_queries_by_blocks(spark, monkeypatch):
         want = bm25.top_k(scores.withColumn("score", F.round("score", 6)), 5)
         assert sorted(map(tuple, want.select("query_id", "doc_id", "score", "rank").collect())) == sorted(map(tuple, hits.top_k(5, digits=6).collect()))
     assert hits.top_k(5, digits=6).count() == 50
+
+
+def test_edges_are_read_as_far_as_the_cap(spark):
+    """Same edges as from all links, of repeated and odd rows too; links beyond the cap stay within their row."""
+    many = [f"/p{i // 2}" for i in range(3000)]
+    rows = [("https://a/", ["mailto:x@y", None, "#f", "/b/", "/b", "c"]), ("https://m/", many), ("https://m/", ["/z", *many[:9]]), ("https://none/", ["mailto:x"]), ("https://e/", []), ("https://n/", None), (None, ["https://x/"])]
+    df = spark.createDataFrame(rows, "url string, links array<string>").repartition(2)
+    got = {r.url: r.edges for r in distil.edges_of(df).collect()}
+    key = lambda u: urls.url_key(u) % (1 << 64)
+    first = ["https://m/z", *[f"https://m/p{i}" for i in range(63)]]
+    want = {"https://a/": ["https://a/", "https://a/b", "https://a/c"], "https://m/": first}
+    assert {u: [k % (1 << 64) for k in e] for u, e in got.items()} == {u: sorted(map(key, e)) for u, e in want.items()}
+    assert "Generate" not in distil.edges_of(df)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_batches_of_python_functions_are_small(spark):
+    """A worker holds a few MB of texts at a time, whatever the number of rows of a partition."""
+
+    @udf.arrow_function("long")
+    def size_of_batch(texts):
+        return texts.map(len).mul(0) + int(texts.map(len).sum())
+
+    rows = spark.range(0, 3000, 1, 1).select(F.repeat(F.lit("x"), 20_000).alias("t"))
+    assert rows.select(size_of_batch("t").alias("n")).agg(F.max("n")).first()[0] <= udf.BATCH_BYTES * 1.1

@@ -102,8 +102,9 @@ def crawl(
     asked of ``fetcher``, a function from (url, etag) to ``fetch.FETCHED`` rows, which sends known etags along (304 is
     'revalidated'). ``bodies`` adds kind, body and etag.
 
-    Each level is one join of the frontier with the site, written to the shared folder; children keep
-    the least (place of parent, position) at which they are found, and those seen before are anti-joined.
+    The site is keyed and written once, its known etags beside it. Each level is one join of the frontier with that,
+    written to the shared folder together with the keys that it has seen; children keep the least (place of parent,
+    position) at which they are found, are written, and those seen before are anti-joined.
     """
     spark = spark or site.sparkSession
     parsed = urls.parse(root)
@@ -113,6 +114,12 @@ def crawl(
     if site is not None:
         keyed = site if "url_key" in site.columns else site.withColumn("url_key", urls.url_key_udf("url"))
         pages = keyed.select("url_key", F.col("url").alias("site_url"), "kind", "body", "status", "etag", (F.col("final_url") if "final_url" in site.columns else F.lit(None).cast("string")).alias("final_url"))
+        if validators is not None:
+            pages = pages.join(validators.select("url_key", F.col("etag").alias("_known")), "url_key", "left")
+        if config.max_depth:
+            pages = materialise(pages, "crawl-site")
+    if known_edges is not None and config.max_depth:
+        known_edges = materialise(known_edges.select("url_key", "children"), "crawl-edges")
     frontier = spark.createDataFrame([(start, urls.url_key(start), 0)], "url string, url_key long, place long")
     seen: DataFrame | None = None
     levels: list[DataFrame] = []
@@ -123,7 +130,8 @@ def crawl(
         good = F.coalesce((F.col("status") >= 200) & (F.col("status") < 400), F.lit(False)) & (F.coalesce(F.octet_length("body"), F.lit(0)) <= config.max_bytes)
         same = F.lit(False)
         if validators is not None:
-            level = level.join(validators.select("url_key", F.col("etag").alias("_known")), "url_key", "left")
+            if site is None:
+                level = level.join(validators.select("url_key", F.col("etag").alias("_known")), "url_key", "left")
             same = F.coalesce(F.col("_known") == F.col("etag"), F.lit(False)) if site is not None else F.coalesce(F.col("status") == 304, F.lit(False))
         effective = F.coalesce("final_url", "url")
         level = level.withColumn("effective", effective)
@@ -134,7 +142,8 @@ def crawl(
             barred = F.coalesce(F.exists("_no", lambda p: urls.url_path(F.col("url")).startswith(p)), F.lit(False))
             good = good & ~barred
         level = level.withColumns({"outcome": F.when(good & same, "revalidated").when(good, "fetched").otherwise("failed"), "ok": good & ~same})
-        level = materialise(level.select("url", "url_key", "place", "effective", "kind", "body", "etag", "outcome", "ok").withColumn("depth", F.lit(depth)), f"crawl-{depth}")
+        moved = F.when(F.col("effective") == F.col("url"), F.col("url_key")).otherwise(urls.url_key_udf("effective")).alias("_moved")
+        level = materialise(level.select("url", "url_key", "place", "effective", "kind", "body", "etag", "outcome", "ok", moved).withColumn("depth", F.lit(depth)), f"crawl-{depth}")
         good_pages = level.where("ok").count()
         level = _budget(level, left, good_pages)
         if depth == 0 and level.where("outcome = 'failed'").count():
@@ -144,7 +153,7 @@ def crawl(
         left -= min(left, good_pages)
         if depth == config.max_depth or left <= 0:
             break
-        now = level.select("url_key").union(level.select(urls.url_key_udf("effective")))
+        now = level.select(F.explode(F.array_distinct(F.array("url_key", "_moved"))).alias("url_key"))
         seen = now if seen is None else seen.union(now)
         found = link_table(level.where("ok").select(F.col("effective").alias("url"), "kind", "body"))
         found = found.join(level.select(F.col("effective").alias("src"), F.col("place").alias("_from")), "src").select("dst", "_from", "pos")
@@ -153,7 +162,8 @@ def crawl(
             found = found.unionByName(again.select("dst", "_from", "pos").where(~urls.is_asset(F.col("dst"))))
         found = found.where(urls.in_scope(root_col, F.col("dst"), config.scope, config.allow) & urls.path_allowed(F.col("dst"), config.require_path))
         found = found.select(F.col("dst").alias("url"), urls.url_key_udf("dst").alias("url_key"), "_from", "pos")
-        first = found.groupBy("url_key").agg(F.min(F.struct("_from", "pos", "url")).alias("f")).join(seen.distinct(), "url_key", "left_anti")
+        first = found.groupBy("url_key").agg(F.min(F.struct("_from", "pos", "url")).alias("f")).join(seen, "url_key", "left_anti")
+        first = materialise(first, f"crawl-found-{depth}")
         frontier = in_order(first.select("f.url", "url_key", "f._from", "f.pos"), ["_from", "pos", "url"], "place").select("url", "url_key", "place")
         if frontier.isEmpty():
             break

@@ -7,9 +7,10 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from hybridkb.functions import distil, udf, urls
+from hybridkb.functions import distil, text, udf, urls
 from hybridkb.operators import bm25
 from hybridkb.plans import catalog
+from hybridkb.sources import crawl
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
@@ -78,3 +79,28 @@ def test_batches_of_python_functions_are_small(spark):
 
     rows = spark.range(0, 3000, 1, 1).select(F.repeat(F.lit("x"), 20_000).alias("t"))
     assert rows.select(size_of_batch("t").alias("n")).agg(F.max("n")).first()[0] <= udf.BATCH_BYTES * 1.1
+
+
+def test_crawl_makes_its_site_once(spark):
+    """A site that is dear to make is made once, not once for each level."""
+    made = spark.sparkContext.accumulator(0)
+
+    def body(i):
+        made.add(1)
+        return f'<a href="/{i + 1}">n</a><a href="/0">n</a>'.encode()
+
+    rows = spark.range(8).select(F.concat(F.lit("https://h/"), "id").alias("url"), F.lit("html").alias("kind"), F.udf(body, "binary")("id").alias("body"), F.lit(200).alias("status"), F.lit("e").alias("etag"))
+    found = crawl.crawl(rows, "https://h/0", crawl.CrawlConfig(5, 1000, scope="host")).select("url", "depth", "outcome").collect()
+    assert sorted(map(tuple, found)) == [(f"https://h/{i}", i, "fetched") for i in range(6)]
+    assert made.value == 8
+
+
+def test_grams_are_counted_within_documents(spark):
+    """As by a grouping of all grams: repeated and null ids, short tokens, characters beyond the first plane."""
+    rows = [(1, ["aaaa", "ab", "c", "𝒳𝒴𝒵𝒳"]), (1, ["aaa", "über"]), (None, ["null"]), (2, []), (3, None), (4, ["x"] * 500)]
+    df = spark.createDataFrame(rows, "doc_id long, t array<string>").repartition(3)
+    for n in (1, 2, 3):
+        want = df.select("doc_id", F.explode("t").alias("t")).select("doc_id", F.explode(text.char_ngrams(F.col("t"), n)).alias("gram")).groupBy("doc_id", "gram").agg(F.count(F.lit(1)).alias("n"))
+        found = text.gram_counts(df, "doc_id", "t", n)
+        assert sorted(map(tuple, found.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
+        assert not re.search(r"hashpartitioning\([^)]*gram", found._jdf.queryExecution().executedPlan().toString())

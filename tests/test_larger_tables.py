@@ -95,6 +95,38 @@ def test_crawl_makes_its_site_once(spark):
     assert made.value == 8
 
 
+def test_crawl_levels_send_keys_to_the_site(spark, monkeypatch):
+    """Neither the site nor the known links are shuffled for a level; the ways for large levels give the same rows."""
+    plans = []
+    write = crawl.materialise
+
+    def watched(df, label):
+        if re.fullmatch(r"crawl-\d+", label):
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df, label)
+
+    monkeypatch.setattr(crawl, "materialise", watched)
+    body = F.concat(*[F.concat(F.lit(f'<a href="/{k}'), F.col("id") * k % 40, F.lit('">n</a>')) for k in (2, 3)], F.lit('<a href="/x.png">n</a><a href="/gone">n</a>')).cast("binary")
+    rows = spark.range(400).select(F.concat(F.lit("https://h/"), "id").alias("url"), F.lit("html").alias("kind"), body.alias("body"), F.lit(200).alias("status"), F.lit("e").alias("etag"))
+    keyed = rows.withColumn("url_key", urls.url_key_udf("url")).where("substring(url, -1) IN ('2', '6')")
+    known = keyed.select("url_key", F.lit("e").alias("etag"))
+    edges = keyed.select("url_key", F.array(F.lit("https://h/7"), F.lit(None), F.lit("https://h/gone"), F.concat("url", F.lit("0"))).alias("children"))
+    run = lambda most: sorted(map(tuple, crawl.crawl(rows, "https://h/1", crawl.CrawlConfig(3, most, scope="host"), known, edges).select("url", "depth", "place", "outcome", "yielded").collect()))
+    threshold = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(threshold)
+    spark.conf.set(threshold, "-1")
+    try:
+        found = [run(1000), run(5)]
+        assert plans and all(p.count("LeftSemi") >= 1 for p in plans)
+        monkeypatch.setattr(crawl, "SENT_KEYS", 0)
+        monkeypatch.setattr(crawl, "ONE_TASK", 0)
+        assert [run(1000), run(5)] == found
+    finally:
+        spark.conf.set(threshold, before)
+    whole, cut = found
+    assert {r[3] for r in whole} == {"fetched", "revalidated", "failed"} and sum(r[3] == "fetched" for r in cut) == 5 < sum(r[3] == "fetched" for r in whole)
+
+
 def test_grams_are_counted_within_documents(spark):
     """As by a grouping of all grams: repeated and null ids, short tokens, characters beyond the first plane."""
     rows = [(1, ["aaaa", "ab", "c", "𝒳𝒴𝒵𝒳"]), (1, ["aaa", "über"]), (None, ["null"]), (2, []), (3, None), (4, ["x"] * 500)]

@@ -7,9 +7,9 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 
-from hybridkb.functions.udf import BATCH_BYTES, small_batches  # noqa: F401
+from hybridkb.functions.udf import BATCH_BYTES, small_batches, steady  # noqa: F401
 
-_slot: list = [None, None, False]
+_slot: list = [None, None]
 
 
 def held(key, make: Callable):
@@ -20,21 +20,6 @@ def held(key, make: Callable):
     return _slot[1]
 
 
-def steady() -> None:
-    """Large blocks are mapped and unmapped as they are used, Arrow's too, instead of being kept for
-    later; a worker that waits for its next task then holds little more than its modules."""
-    if _slot[2]:
-        return
-    _slot[2] = True
-    pa.set_memory_pool(pa.system_memory_pool())
-    try:
-        libc = ctypes.CDLL("libc.so.6")
-        libc.mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD
-        libc.mallopt(-1, 1 << 20)  # M_TRIM_THRESHOLD
-    except (OSError, AttributeError):  # another C library
-        pass
-
-
 def tidy() -> None:
     """Give pages that are free back to the machine; workers of other stages live beside this one."""
     pa.default_memory_pool().release_unused()

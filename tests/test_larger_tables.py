@@ -4,10 +4,11 @@ import os
 import re
 
 import duckdb
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from hybridkb.functions import distil, text, udf, urls
+from hybridkb.functions import distil, html, text, udf, urls
 from hybridkb.operators import bm25
 from hybridkb.plans import catalog
 from hybridkb.sources import crawl
@@ -81,6 +82,23 @@ def test_batches_of_python_functions_are_small(spark):
     assert rows.select(size_of_batch("t").alias("n")).agg(F.max("n")).first()[0] <= udf.BATCH_BYTES * 1.1
 
 
+def test_chunks_of_a_batch_of_pages(spark):
+    """Facts of pages come back in chunks, not a batch at once; null, empty, binary and long pages too."""
+    pages = [f"<title>t{i}</title><h2>h{i}</h2><p>{'w ' * i}</p>" for i in range(900)] + [None, "", "<p>" + "x " * (udf.CHUNK_BYTES + 9)]
+    df = spark.createDataFrame(list(enumerate(pages)), "i int, html string").coalesce(1)
+    want = [html.page_facts(p or "") for p in pages]
+    for column in ("html", "cast(html AS binary)"):
+        found = df.select("i", html.page_facts_udf(F.expr(column)).alias("f")).orderBy("i").collect()
+        assert [r.f.asDict() for r in found] == want
+
+    @udf.chunked_function("array<long>", pa.list_(pa.int64()))
+    def mapped(text):
+        return [pa.total_allocated_bytes()]
+
+    large = spark.range(0, 300, 1, 1).select(F.repeat(F.lit("x"), 20_000).alias("t"))
+    assert large.select(mapped("t")[0].alias("n")).agg(F.max("n")).first()[0] < 4 * udf.BATCH_BYTES
+
+
 def test_crawl_makes_its_site_once(spark):
     """A site that is dear to make is made once, not once for each level."""
     made = spark.sparkContext.accumulator(0)
